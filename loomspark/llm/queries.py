@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import mixing, quality, urlfilter
+from loomspark.llm import mixing, packing, quality, rans, urlfilter
 from loomspark.llm.sql import ORACLES
 
 
@@ -15,6 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, _tokenizer("word_bpe_49k.json")))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files = rans.write_token_files(docs, _tokenizer("byte_bpe_50k.json"))
+    return rans.read_token_files(spark, files)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.url_verdicts(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -34,6 +51,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_token_files": op4_token_files,
         "op3_url_filters": op3_url_filters,
         "op8_mix_sources": op8_mix_sources,
         "op10_quality_rules": op10_quality_rules,
