@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import mixing, packing, quality, rans, urlfilter
+from loomspark.llm import minhash, mixing, packing, quality, rans, suffix_dedup, urlfilter
 from loomspark.llm.sql import ORACLES
 
 
@@ -26,12 +26,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, _tokenizer("word_bpe_49k.json")))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     files = rans.write_token_files(docs, _tokenizer("byte_bpe_50k.json"))
     return rans.read_token_files(spark, files)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs)
+    return out.select(F.col("_row._0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urlfilter.url_verdicts(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -52,7 +62,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op4_token_files": op4_token_files,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op3_url_filters": op3_url_filters,
         "op8_mix_sources": op8_mix_sources,
         "op10_quality_rules": op10_quality_rules,
