@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import minhash, mixing, packing, quality, rans, suffix_dedup, urlfilter
+from loomspark.llm import fingerprint, licenses, minhash, mixing, packing, ppm, quality, rans, suffix_dedup, urlfilter
 from loomspark.llm.sql import ORACLES
 
 
@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -23,7 +23,7 @@ def _tokenizer(name: str) -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.pack(packing.token_pieces(docs, _tokenizer("word_bpe_49k.json")))
+    return packing.pack(packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json")))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    files = rans.write_token_files(docs, _tokenizer("byte_bpe_50k.json"))
+    files = rans.write_token_files(docs, tokenizer_path("byte_bpe_50k.json"))
     return rans.read_token_files(spark, files)
 
 
@@ -47,6 +47,18 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"), rows=False)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op3_url_filters": op3_url_filters,
+        "op6_license_scans": op6_license_scans,
+        "op7_lm_scoring": op7_lm_scoring,
+        "op9_document_fingerprints": op9_document_fingerprints,
         "op8_mix_sources": op8_mix_sources,
         "op10_quality_rules": op10_quality_rules,
     }
