@@ -13,10 +13,12 @@ import re
 import numpy as np
 import regex
 
-CACHE = 150_000
+CACHE = 300_000
 #: White space other than blanks and line ends, in the widest sense of it.
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: White space next to white space or at an end of the text.
+_UNEVEN = re.compile(r"[ \n][ \n]|^[ \n]|[ \n]$")
 #: Characters that no normalizer recomposes and whose lower case depends on nothing around them.
 _LATIN = re.compile("[ \n]*[!-~¡-įı-ɏ]+").fullmatch
 #: How the two tokenizer files split text.
@@ -47,6 +49,7 @@ class Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
         self.words, self.older, self.split = words, {}, _WORD_SPLIT if words else _BYTE_SPLIT
         self.bytes = _byte_characters()
 
@@ -58,8 +61,15 @@ class Ids(dict):
             return self._library(unit)
         found = []
         for part in self.split(unit.lower() if self.words else unit):
-            found += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))]
-        return np.array(found, "<u4").tobytes()
+            value = self.parts.get(part)
+            if value is None:
+                tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))
+                value = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                if len(self.parts) >= CACHE:
+                    self.parts.clear()
+                self.parts[part] = value
+            found.append(value)
+        return b"".join(found)
 
     def __missing__(self, unit) -> bytes:
         value = self.older.get(unit)
@@ -76,8 +86,10 @@ class Ids(dict):
             units = text.encode().split()
         elif _ODD_SPACE.search(text):
             return self._library(text)
-        else:
+        elif _UNEVEN.search(text):
             units = _UNITS.findall(text)
+        else:  # a unit is a word and the blank or line end before it
+            units = text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n").split("\0") if "\0" not in text else _UNITS.findall(text)
         return b"".join(map(self.__getitem__, units))
 
 
