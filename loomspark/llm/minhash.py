@@ -3,7 +3,7 @@ sets confirm them."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from loomspark.llm.common import WORD_HASH, Workspace, mix, pick, shingles, smal
 
 #: Best pairs that each member outside its bucket's largest component tries, by round; the last round tries all.
 TRIES = (4, 16, None)
+#: The sketches of that last round: more samples in longer bitmaps, with a margin of five standard deviations again.
+FINE = {"bands": 256, "rows": 4, "bits": 4096, "margin": 0.06}
 #: Members of a bucket that one task compares.
 TASK_MEMBERS = 20_000
 
@@ -129,6 +131,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return docs.join(wanted, docs.doc_id == wanted.id, "left_semi").mapInArrow(run, "id long, set binary")
 
 
+def _fine_sketches(sets: DataFrame, spec: NearDup) -> DataFrame:
+    """id, sketch by the samples of spec, from full sets."""
+
+    def run(batches):
+        a, b = spec.multipliers()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                values = [samples(np.frombuffer(x.as_buffer(), np.uint64), a, b) for x in part.column("set")]
+                sketch = odd_sketches(np.stack(values), spec).astype(np.int64)
+                offsets = np.arange(len(sketch) + 1, dtype=np.int32) * sketch.shape[1]
+                lists = pa.ListArray.from_arrays(offsets, pa.array(sketch.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "sketch"])
+
+    return sets.mapInArrow(run, "id long, sketch array<long>")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Each join is by one id; AQE splits that of a hot one."""
 
@@ -197,6 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", spec: NearDup
 
     sketches = reps.select("id", "sketch")
     limit = spec.percent / 100 - spec.margin
+    fine = replace(spec, **FINE)
     pairs = members.filter("id > center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     pairs = _sketched(pairs, sketches)
     pairs = pairs.withColumn("like", odd_similarity(_different("sketch_a", "sketch_b", spec), spec)).filter(F.col("like") >= limit)
@@ -214,7 +234,13 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", spec: NearDup
         open_rows = work.save(labelled.join(mixed.select("key"), "key"), f"open{step}")
         if not open_rows.limit(1).count():
             break
-        more = work.save(_across(open_rows, limit, most, spec).join(tried, ["a", "b"], "left_anti"), f"more{step}")
+        if most:
+            found = _across(open_rows, limit, most, spec)
+        else:
+            ids = open_rows.select("id").distinct()
+            finer = work.save(_fine_sketches(sets.join(ids, "id", "left_semi"), fine), "fine")
+            found = _across(open_rows.drop("sketch").join(finer, "id"), spec.percent / 100 - fine.margin, None, fine)
+        more = work.save(found.join(tried, ["a", "b"], "left_anti"), f"more{step}")
         tried = tried.unionByName(more)
         new = work.save(_confirm(more, sets, spec.percent), f"links{step}")
         if not new.limit(1).count():
