@@ -15,7 +15,7 @@ from loomspark.llm.common import WORD_HASH, Workspace, mix, pick, shingles, smal
 
 
 #: Best pairs that each member outside its bucket's largest component tries, by round; the last round tries all.
-TRIES = (4, 16, None)
+TRIES = (1, None)
 #: The sketches of that last round: more samples in longer bitmaps, with a margin of five standard deviations again.
 FINE = {"bands": 256, "rows": 4, "bits": 4096, "margin": 0.06}
 #: Members of a bucket that one task compares.
