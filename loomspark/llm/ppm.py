@@ -15,7 +15,7 @@ from loomspark.llm.common import WORD_HASH, Workspace, pick, small_batches
 
 ORDER = 5
 #: Most grams of one order that a model keeps, and most words whose counts are broadcast; the rest is joined.
-MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 18
+MAX_GRAMS, MAX_WORDS = 1 << 18, 1 << 17
 SEGMENT, FLUSH_WORDS, FLUSH_GRAMS = 1_500_000, 200_000, 1_500_000
 BYTE = np.uint64(8)
 
