@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", spec: NearDup
             found = _across(open_rows, limit, most, spec)
         else:
             ids = open_rows.select("id").distinct()
-            finer = work.save(_fine_sketches(sets.join(ids, "id", "left_semi"), fine), "fine")
+            finer = work.save(_fine_sketches(sets.join(ids, "id", "left_semi"), fine).join(reps.select("id", "bands"), "id"), "fine")
             found = _across(open_rows.drop("sketch").join(finer, "id"), spec.percent / 100 - fine.margin, None, fine)
         more = work.save(found.join(tried, ["a", "b"], "left_anti"), f"more{step}")
         tried = tried.unionByName(more)
@@ -265,7 +265,8 @@ def _across(open_rows: DataFrame, limit: float, most: int | None, spec: NearDup)
     """Pairs (a, b), a > b, of different components within a bucket that sketches let pass.
 
     Members outside the bucket's largest component are held against all others, and each gives its `most` best pairs,
-    or all. Large buckets are dealt to several tasks, to each of which those members go.
+    or all. Large buckets are dealt to several tasks, to each of which those members go. Of all buckets that two members
+    share, it is the one of the first band that gives the pair when all are asked for; open_rows then have their bands.
     """
     sizes = open_rows.groupBy("key", "component").count()
     main = F.max(F.struct("count", "component")).alias("m")
@@ -283,17 +284,22 @@ def _across(open_rows: DataFrame, limit: float, most: int | None, spec: NearDup)
         few, own_ = table.column("few").to_numpy(), table.column("own").to_numpy()
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         other = np.flatnonzero(own_)
+        if not most:
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            band = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
         found = []
         for i in np.flatnonzero(few):
             differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             fits = np.flatnonzero((differ <= allowed) & (comps[other] != comps[i]) & (~few[other] | (ids[other] < ids[i])))
             if most and len(fits) > most:
                 fits = fits[np.argsort(differ[fits], kind="stable")[:most]]
+            elif not most:  # pairs that meet in a bucket of an earlier band are given there
+                fits = fits[~(bands[other[fits], :band] == bands[i, :band]).any(axis=1)]
             found.append(np.stack([np.maximum(ids[i], ids[other[fits]]), np.minimum(ids[i], ids[other[fits]])]))
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": a, "b": b})
 
-    columns = ("key", "task", "id", "component", "sketch", "few", "own")
+    columns = ("key", "task", "id", "component", "sketch", "few", "own") + (() if most else ("bands",))
     pairs = dealt.select(*columns).groupBy("key", "task").applyInArrow(run, "a long, b long")
     return pairs.distinct()
 
