@@ -321,16 +321,34 @@ def _matches(rows: DataFrame, spec: LongMatches) -> DataFrame:
     return rows.mapInArrow(run, SPAN)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """d: the id, null as the smallest; u: a hash of the text, which tells rows of one id apart."""
+def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
+    """d: the id, null as the smallest; u: 0, but for ids with different texts a hash of the text, which tells their rows
+    apart."""
     lowest = F.lit(-(2**63)).cast("long")
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn("u", F.xxhash64("text"))
+    docs = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), lowest))
+    hashes = docs.select("d", F.xxhash64("text").alias("h")).groupBy("d").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    shared = work.save(hashes.filter("low < high").select("d", F.lit(True).alias("shared")), "shared")
+    if not shared.limit(1).count():
+        return docs.withColumn("u", F.lit(0).cast("long"))
+    return docs.join(shared, "d", "left").withColumn("u", F.when(F.col("shared"), F.xxhash64("text")).otherwise(0)).drop("shared")
+
+
+def _dealt_by_anchor(found: DataFrame, tasks: int, spec: LongMatches) -> DataFrame:
+    """Runs in the partition of their anchor, sorted by it; on the way start, n and settled are one number."""
+    bits = spec.length.bit_length() + 1
+    settled = F.col("hot").isNull().cast("long")
+    place = F.shiftleft("start", bits).bitwiseOR(F.shiftleft("n", 1)).bitwiseOR(settled).alias("place")
+    dealt = found.select("key", "d", "u", place).repartition(tasks, "key").sortWithinPartitions("key")
+    place = F.col("place")
+    hot = F.when(place.bitwiseAND(F.lit(1)) == 0, False).alias("hot")
+    n = F.shiftright(place.bitwiseAND(F.lit((1 << bits) - 1)), 1).alias("n")
+    return dealt.select(hot, "key", "d", "u", F.shiftright(place, bits).alias("start"), n)
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, spec: LongMatches = LongMatches()) -> DataFrame:
     """Spans (d, u, start, stop) of bytes to remove, overlapping, of docs with d, u and text."""
     n = partitions(docs.sparkSession)
-    sparse = _runs(docs.select("d", "u", "text"), spec).repartition(n, "key").sortWithinPartitions("key")
+    sparse = _dealt_by_anchor(_runs(docs.select("d", "u", "text"), spec), n, spec)
     found = work.save(_repeated(sparse, spec), "runs")
     work.drop()
     settled = found.filter("hot IS NULL").select("d", "u", "start", (F.col("start") + F.col("n") - 1 + spec.length).alias("stop"))
@@ -379,7 +397,7 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", spec: LongMatc
     """
     small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "suffixes")
-    source = _keyed(pick_row(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit(""))))
+    source = _keyed(pick_row(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit(""))), work)
     spans = repeated_spans(source.select("d", "u", "text"), work, spec)
     lists = spans.groupBy("d", "u").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = source.select("_row", "d", "u", "text").join(lists, ["d", "u"], "left").select("_row", "text", "spans")
