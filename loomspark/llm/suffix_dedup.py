@@ -142,6 +142,7 @@ def _segments(batch: pa.RecordBatch, overlap: int):
         yield group
 
 
+DEALT = "key long, same long, d long, u long, start long, n long"
 RUN = "hot boolean, key long, d long, u long, start long, n long"
 SPAN = "d long, u long, start long, stop long"
 
@@ -153,13 +154,11 @@ def _batch(spec: str, *columns) -> pa.RecordBatch:
 
 
 def _runs(docs: DataFrame, spec: LongMatches) -> DataFrame:
-    """Runs; with a null `hot` those whose very bytes occur in an earlier run of the same segment: they are settled,
-    and only the first of them stands for all in what follows."""
+    """Runs; `same` is a hash of all their bytes."""
 
     def run(batches):
         for batch in batches:
             for group in _segments(batch, spec.length - 1):
-                group.sort(key=lambda g: (g[0], g[1], g[3]))
                 data = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
                 ends = np.cumsum([len(g[2]) for g in group])
                 key, text, start, n = runs(data, ends, spec)
@@ -168,34 +167,41 @@ def _runs(docs: DataFrame, spec: LongMatches) -> DataFrame:
                 whole = fingerprints(data, spec.length)
                 same = mix(mix(whole[start] * M1 + n.astype(np.uint64)) + whole[start + n - 1])
                 same = mix(same + whole[start + n // 2])
-                _, first = np.unique(same, return_index=True)
-                hot = np.ones(len(key), bool)
-                hot[first] = False
                 d, u = (np.array([g[i] for g in group], np.int64)[text] for i in (0, 1))
                 begins = np.concatenate([[0], ends[:-1]]) - np.array([g[3] for g in group])
-                flags = pa.array(np.zeros(len(key), bool), pa.bool_(), mask=hot)
-                yield _batch(RUN, flags, key.view(np.int64), d, u, start - begins[text], n)
+                yield _batch(DEALT, key.view(np.int64), same.view(np.int64), d, u, start - begins[text], n)
 
-    return docs.mapInArrow(run, RUN)
+    return docs.mapInArrow(run, DEALT)
+
+
+def _new(columns: list[np.ndarray], last: list | None) -> np.ndarray:
+    """Where a row differs from the one before it; `last` is the one before the first."""
+    differs = np.zeros(len(columns[0]), bool)
+    for i, c in enumerate(columns):
+        differs[1:] |= c[1:] != c[:-1]
+        differs[0] |= last is None or c[0] != last[i]
+    return differs
 
 
 def _repeated(table: DataFrame, spec: LongMatches) -> DataFrame:
-    """Of runs sorted by anchor, those whose anchor occurs again, marked hot where it occurs too often; and all settled
-    ones. Holds the runs of one anchor up to the limit."""
+    """Of runs sorted by anchor, bytes and place: with a null `hot` those whose very bytes stand in an earlier run, for
+    they are settled and that run stands for all; of the first runs those whose anchor has other bytes too, marked hot
+    where it has too many. Holds the first runs of one anchor up to the limit. A row of docs that is there twice counts
+    once."""
 
     def run(batches):
-        held, hot_key = None, None
+        held, hot_key, last = None, None, None
 
-        def judge(t, last):
+        def judge(t, end):
             """The rows to pass on, and those to hold for their anchor may go on."""
             nonlocal hot_key
             key = t.column("key").to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            new = np.flatnonzero(_new([key], None))
             size = np.diff(np.concatenate([new, [len(key)]]))
             hot = size > spec.hot_runs
             if hot_key is not None and key[0] == hot_key:
                 hot[0] = True
-            cut = len(key) if last or hot[-1] else int(new[-1])
+            cut = len(key) if end or hot[-1] else int(new[-1])
             if hot[-1]:
                 hot_key = key[-1]
             keep = np.repeat((size > 1) | hot, size)[:cut]
@@ -204,10 +210,16 @@ def _repeated(table: DataFrame, spec: LongMatches) -> DataFrame:
             return out, t.slice(cut)
 
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            settled = t.filter(pa.compute.is_null(t.column("hot")))
-            yield from settled.to_batches()
-            t = t.filter(pa.compute.is_valid(t.column("hot")))
+            if not batch.num_rows:
+                continue
+            key, same, d, u, start = columns = [batch.column(c).to_numpy() for c in ("key", "same", "d", "u", "start")]
+            first = _new([key, same], last and last[:2])
+            twin = ~_new(columns, last)
+            last = [c[-1] for c in columns]
+            none = pa.nulls(batch.num_rows, pa.bool_())
+            t = pa.Table.from_arrays([none, *[batch.column(c) for c in ("key", "d", "u", "start", "n")]], [c.split()[0] for c in RUN.split(", ")])
+            yield from t.filter(pa.array(~first & ~twin)).to_batches()
+            t = t.filter(pa.array(first))
             if held is not None and len(held):
                 t = pa.concat_tables([held, t])
             if len(t):
@@ -334,15 +346,13 @@ def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _dealt_by_anchor(found: DataFrame, tasks: int, spec: LongMatches) -> DataFrame:
-    """Runs in the partition of their anchor, sorted by it; on the way start, n and settled are one number."""
-    bits = spec.length.bit_length() + 1
-    settled = F.col("hot").isNull().cast("long")
-    place = F.shiftleft("start", bits).bitwiseOR(F.shiftleft("n", 1)).bitwiseOR(settled).alias("place")
-    dealt = found.select("key", "d", "u", place).repartition(tasks, "key").sortWithinPartitions("key")
-    place = F.col("place")
-    hot = F.when(place.bitwiseAND(F.lit(1)) == 0, False).alias("hot")
-    n = F.shiftright(place.bitwiseAND(F.lit((1 << bits) - 1)), 1).alias("n")
-    return dealt.select(hot, "key", "d", "u", F.shiftright(place, bits).alias("start"), n)
+    """Runs in the partition of their anchor, sorted by it, bytes and place; on the way start and n are one number."""
+    bits = spec.length.bit_length()
+    place = F.shiftleft("start", bits).bitwiseOR(F.col("n")).alias("place")
+    dealt = found.select("key", "same", "d", "u", place).repartition(tasks, "key")
+    dealt = dealt.sortWithinPartitions("key", "same", "d", "u", "place")
+    n = F.col("place").bitwiseAND(F.lit((1 << bits) - 1)).alias("n")
+    return dealt.select("key", "same", "d", "u", F.shiftright("place", bits).alias("start"), n)
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, spec: LongMatches = LongMatches()) -> DataFrame:
