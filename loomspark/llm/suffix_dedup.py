@@ -261,7 +261,7 @@ def _contexts(docs: DataFrame, found: DataFrame, spec: LongMatches) -> DataFrame
             if keys:
                 yield _batch(CONTEXT, keys, ds, us, starts, ns, texts)
             if windows:
-                windows.sort()
+                windows = sorted(set(windows))  # a row of docs that is there twice counts once
                 d, u, s, h = zip(*windows, strict=True)
                 first, seen = [], set()
                 for x in h:

@@ -227,6 +227,25 @@ def test_hot_passages(spark, hot):
     assert {x["_row"][0]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows} == _removed(texts)
 
 
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_suffix_dedup_of_repeated_rows(spark, hot):
+    r = np.random.default_rng(2)
+    own = ["".join(map(chr, r.integers(97, 123, 250))) for _ in range(12)]
+    texts = {d: own[d % 12] if d % 3 else own[0][:120] + own[d % 12] for d in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = suffix_dedup.remove_repeats(df.union(df), spec=suffix_dedup.LongMatches(hot_runs=hot)).collect()
+    assert len(rows) == 60
+    assert {x["_row"][0]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows} == _removed(texts)
+
+
+def test_suffix_dedup_of_texts_with_one_id(spark):
+    """Rows of one id come in the order of their texts' hashes: one of two that share a passage loses it."""
+    passage = "".join(map(chr, np.random.default_rng(3).integers(97, 123, 140)))
+    df = spark.createDataFrame([(5, "left " + passage), (5, passage + " right"), (6, "kept")], "doc_id long, text string")
+    rows = suffix_dedup.remove_repeats(df).collect()
+    assert sorted(x["n_removed"] for x in rows) == [0, 0, 140]
+
+
 def test_levels_stay_few():
     levels, seen, r = suffix_dedup.Levels(), set(), np.random.default_rng(0)
     for _ in range(64):
