@@ -2,8 +2,8 @@
 
 A window is a string of `length` bytes. Every window has an anchor, the k-gram within it whose hash is least, so equal
 windows have equal anchors at equal places, and windows that start side by side mostly share theirs: a run. Runs are
-the entries of the index. Only runs whose anchor occurs more than once go on, with their bytes, to the task of their
-anchor. There the windows' starts come in document order, batch by batch: each batch gets its suffix array, ordered by
+the entries of the index. A run whose very bytes stand in an earlier one is settled by their hash. Only first runs whose
+anchor has other bytes too go on, with their bytes, to the task of their anchor. There the windows' starts come in document order, batch by batch: each batch gets its suffix array, ordered by
 the fingerprint of the window rather than by its letters (what stands together is the same), is merge-scanned against
 the levels of earlier batches, and becomes a level itself; levels of about equal size merge, so that there are
 logarithmically many.
