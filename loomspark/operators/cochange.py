@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Events kept, those of a pair that count in its own mode, and the gates as (numerator, denominator).
 RETAINED, PAIR_EVENTS, MIN_OPPORTUNITIES, MIN_SHARED = 200, 24, 12, 6
 OVERLAP, ACCOMPANIMENT = (3, 5), (3, 10)
+#: Pairs that a selector gives, annotations, and by how many shared events the best must lead.
+SELECTED, ANNOTATIONS, LEAD = 4, 2, 2
 
 
 def retain(events: DataFrame, eligible: int) -> DataFrame:
@@ -57,3 +59,38 @@ def gated(stats: DataFrame) -> DataFrame:
         (u >= MIN_OPPORTUNITIES) & (c >= MIN_SHARED) & (c * OVERLAP[1] >= low * OVERLAP[0])
         & (c * ACCOMPANIMENT[1] >= u * ACCOMPANIMENT[0]) & (F.col("band0") > 0) & (F.col("band1") > 0) & (F.col("band2") > 0)
     )
+
+
+def ordered(candidates: DataFrame) -> list[Row]:
+    """The gated pairs, best first: by support, share of opportunities, accompaniment, paths. They are bounded: RETAINED
+    events of at most 100 paths have at most 990,000 pairs in all, and each pair needs MIN_SHARED of them."""
+    share = F.col("shared") / F.col("opportunities")
+    company = F.col("shared") / F.least("left", "right")
+    return candidates.orderBy(F.col("support").desc(), share.desc(), company.desc(), "a", "b").collect()
+
+
+def selected(candidates: DataFrame) -> list[Row]:
+    """The first pairs in order, SELECTED at most, that use no path twice."""
+    out, used = [], set()
+    for row in ordered(candidates):
+        if len(out) < SELECTED and used.isdisjoint((row.a, row.b)):
+            out.append(row)
+            used |= {row.a, row.b}
+    return out
+
+
+def annotations(routes: list[tuple[str, bool]], candidates: DataFrame) -> list[tuple[str, str]]:
+    """(route, companion) for the first routes, ANNOTATIONS at most, that stand by themselves and whose best candidate
+    leads the next by LEAD events or has none beside it. No path is used twice."""
+    best, out, used = ordered(candidates), [], set()
+    for route, justified in routes:
+        if len(out) == ANNOTATIONS:
+            break
+        found = [(r.support, r.b if r.a == route else r.a) for r in best if route in (r.a, r.b)]
+        if not justified or route in used or not found or (len(found) > 1 and found[0][0] - found[1][0] < LEAD):
+            continue
+        companion = found[0][1]
+        if companion not in used:
+            out.append((route, companion))
+            used |= {route, companion}
+    return out

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import digest, row_key
 from loomspark.operators import cochange
-from loomspark.plans import search
+from loomspark.plans import search, verify
 from loomspark.plans.search import Filters, Request
 from loomspark.sources.tables import conversation_documents, table, with_tokens
+from loomspark.sources.views import delta
 
 LITERALS = ("the", "of the", "in", "la", "de")
 REQUEST = Request(LITERALS)
@@ -139,6 +140,36 @@ def gated_candidates(spark, sf_dir):
     return cochange.gated(_stats(False)(spark, sf_dir))
 
 
+def selected_candidates(spark, sf_dir):
+    kept = _retained(spark, sf_dir)
+    support = cochange.pair_support(kept).filter(F.col("support") >= cochange.MIN_SHARED)
+    rows = cochange.selected(cochange.gated(cochange.pair_stats(kept, support, False)).join(support, ["a", "b"]))
+    return spark.createDataFrame([(i, r.a, r.b, r.support) for i, r in enumerate(rows)], "place int, a string, b string, support long")
+
+
+def verified_candidates(spark, sf_dir):
+    return verify.verified(_docs(spark, sf_dir), conversation_documents(spark, sf_dir), REQUEST)
+
+
+def snippets(spark, sf_dir):
+    return verify.with_snippets(_docs(spark, sf_dir), conversation_documents(spark, sf_dir), REQUEST)
+
+
+def shadow_parity(spark, sf_dir):
+    """The fused answer of depth 100 against that of depth 40."""
+    docs = _docs(spark, sf_dir)
+    return verify.parity(search.fused(docs, REQUEST), search.fused(docs, Request(LITERALS, 40)), ["session_id"])
+
+
+def view_after_delta(spark, sf_dir):
+    """Assistants' turns go, users' turns are put again with a mark."""
+    docs = conversation_documents(spark, sf_dir)
+    rows = docs.select(row_key(F.col("session_id"), F.col("seq")).alias("row_key"), "event_type", "body")
+    upserts = rows.filter("event_type = 'user/message'").withColumn("body", F.concat(F.lit("again: "), "body"))
+    out = delta(rows, upserts, rows.filter("event_type = 'assistant/message'"))
+    return out.select("row_key", "event_type", F.sha2("body", 256).alias("body_sha256"))
+
+
 def document_digests(spark, sf_dir):
     docs = conversation_documents(spark, sf_dir)
     key = row_key(F.col("session_id"), F.col("seq"))
@@ -187,7 +218,7 @@ def queries():
         tokenize_stats, corpus_stats, phrase_tf, bm25_single, truncation_report, rrf_fused, rrf_contributions,
         scope_restricted, view_conversation_search, session_best_top101, session_cursors, session_last_update,
         contiguity_check, exact_range, change_heat, link_fan_in, retained_events, pair_support, gated_candidates,
-        document_digests, latency_percentiles, checkpoint_skip, replay_delta,
+        selected_candidates, verified_candidates, snippets, shadow_parity, view_after_delta, document_digests, latency_percentiles, checkpoint_skip, replay_delta,
     )
     found = {f.__name__: f for f in plain} | {"bm25_five_sources": _sources()}
     found |= {"pair_stats_repository_window": _stats(False), "pair_stats_pair_relative": _stats(True)}

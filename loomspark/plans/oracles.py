@@ -120,6 +120,15 @@ def oracles() -> dict[str, str]:
         "pair_stats_pair_relative": f"WITH {pair_stats(True)} SELECT * FROM stats",
         "gated_candidates": f"""WITH {pair_stats(False)} SELECT * FROM stats WHERE opportunities >= 12 AND shared >= 6
             AND shared * 5 >= least("left", "right") * 3 AND shared * 10 >= opportunities * 3 AND band0 > 0 AND band1 > 0 AND band2 > 0""",
+        "verified_candidates": rf"""WITH {ranked()}, texts AS (SELECT ordinal, x FROM (VALUES {_LIT}) v(ordinal, x)), held AS (
+            SELECT position, session_id, src.seq, contains(lower(trim(regexp_replace(body, '\s+', ' ', 'g'))), x) AS ok
+            FROM src JOIN top USING (session_id) JOIN texts USING (ordinal) WHERE position <= 20)
+            SELECT position, session_id, count(DISTINCT seq) AS evidence FROM held GROUP BY ALL HAVING bool_and(ok)""",
+        "shadow_parity": f"""SELECT position, coalesce(x.session_id = y.session_id, false) AS equal FROM
+            (WITH {ranked()} SELECT position, session_id FROM top WHERE position <= 20) x
+            FULL JOIN (WITH {ranked(depth=40)} SELECT position, session_id FROM top WHERE position <= 20) y USING (position)""",
+        "view_after_delta": f"""WITH {DOCS} SELECT 'row:' || strlen(session_id) || ':' || session_id || ':' || seq AS row_key, event_type,
+            sha256(CASE WHEN event_type = 'user/message' THEN 'again: ' ELSE '' END || body) AS body_sha256 FROM c WHERE event_type <> 'assistant/message'""",
         "document_digests": f"""WITH {DOCS} SELECT 'row:' || strlen(session_id) || ':' || session_id || ':' || seq AS row_key, scope,
             sha256('loomspark/document/v1' || chr(0) || session_id || chr(0) || seq || chr(0) || body) AS fingerprint FROM c""",
         "latency_percentiles": """SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99,

@@ -21,7 +21,7 @@ def _rows(columns, rows):
     return [columns[i] for i in order], sorted(tuple(r[i] for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(oracles.oracles()))
 def test_equals_oracle(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     want = duck.sql(oracles.oracles()[name])
