@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +103,26 @@ class WordHash(dict):
 
 WORD_HASH = WordHash()
 
+
+def trim() -> None:
+    """Gives memory back to the system that this process no longer uses; the word cache starts anew."""
+    WORD_HASH.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """The same function over batches, which trims at its end: workers wait for later tasks and stages beside the JVM."""
+
+    def inner(batches):
+        yield from run(batches)
+        trim()
+
+    return inner
+
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD_HASH, Workspace, mix, pick, shingles, small_batches
+from loomspark.llm.common import WORD_HASH, Workspace, mix, pick, shingles, small_batches, trimmed
 
 
 #: Best pairs that each member outside its bucket's largest component tries, by round; the last round tries all.
@@ -117,7 +117,7 @@ def _signatures(docs: DataFrame, spec: NearDup) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (len(x) // n), pa.array(x)) for x in (bands, sketch)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.string()), *lists], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig string, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, sig string, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             got = [shingle_set(t.as_py(), k).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], ["id", "set"])
 
-    return docs.join(wanted, docs.doc_id == wanted.id, "left_semi").mapInArrow(run, "id long, set binary")
+    return docs.join(wanted, docs.doc_id == wanted.id, "left_semi").mapInArrow(trimmed(run), "id long, set binary")
 
 
 def _fine_sketches(sets: DataFrame, spec: NearDup) -> DataFrame:
@@ -145,7 +145,7 @@ def _fine_sketches(sets: DataFrame, spec: NearDup) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(sketch.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "sketch"])
 
-    return sets.mapInArrow(run, "id long, sketch array<long>")
+    return sets.mapInArrow(trimmed(run), "id long, sketch array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:

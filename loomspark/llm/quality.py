@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomspark.llm.common import pick_row, small_batches, unrow
+from loomspark.llm.common import pick_row, small_batches, trimmed, unrow
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -115,7 +115,7 @@ def line_first_quality(docs: DataFrame, text: str = "text", rules: LineRules = L
                 )
 
     schema = f"_row {source.schema['_row'].dataType.simpleString()}, {COLUMNS}"
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def keep_clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import M1, M2, Workspace, mix, partitions, pick, pick_row, small_batches, unrow
+from loomspark.llm.common import M1, M2, Workspace, mix, partitions, pick, pick_row, small_batches, trimmed, unrow
 
 #: Bytes of text, and windows, that a worker handles at a time.
 SEGMENT, BATCH_WINDOWS = 3 << 20, 400_000
@@ -171,7 +171,7 @@ def _runs(docs: DataFrame, spec: LongMatches) -> DataFrame:
                 begins = np.concatenate([[0], ends[:-1]]) - np.array([g[3] for g in group])
                 yield _batch(DEALT, key.view(np.int64), same.view(np.int64), d, u, start - begins[text], n)
 
-    return docs.mapInArrow(run, DEALT)
+    return docs.mapInArrow(trimmed(run), DEALT)
 
 
 def _new(columns: list[np.ndarray], last: list | None) -> np.ndarray:
@@ -229,7 +229,7 @@ def _repeated(table: DataFrame, spec: LongMatches) -> DataFrame:
             out, _ = judge(held, True)
             yield from out.combine_chunks().to_batches()
 
-    return table.mapInArrow(run, RUN)
+    return table.mapInArrow(trimmed(run), RUN)
 
 
 CONTEXT = "key long, d long, u long, start long, n long, bytes binary"
@@ -269,7 +269,7 @@ def _contexts(docs: DataFrame, found: DataFrame, spec: LongMatches) -> DataFrame
                     seen.add(x)
                 yield _batch(CONTEXT, first, d, u, s, [1] * len(s), [None] * len(s))
 
-    return joined.mapInArrow(run, CONTEXT)
+    return joined.mapInArrow(trimmed(run), CONTEXT)
 
 
 def _spans(d, u, start, windows, dup, length):
@@ -330,7 +330,7 @@ def _matches(rows: DataFrame, spec: LongMatches) -> DataFrame:
         if held and (out := flush()):
             yield out
 
-    return rows.mapInArrow(run, SPAN)
+    return rows.mapInArrow(trimmed(run), SPAN)
 
 
 def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -427,7 +427,7 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", spec: LongMatc
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *arrays], names)
 
-    return joined.mapInArrow(run, f"_row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return joined.mapInArrow(trimmed(run), f"_row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def without_repeats(docs: DataFrame, spec: LongMatches = LongMatches()) -> DataFrame:
