@@ -11,12 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD_HASH, Workspace, pick, small_batches
+from loomspark.llm.common import WORD_HASH, Workspace, mix, partitions, pick, small_batches
 
 ORDER = 5
-#: Most grams of one order that a model keeps, and most words whose counts are broadcast; the rest is joined.
-MAX_GRAMS, MAX_WORDS = 1 << 18, 1 << 17
-SEGMENT, FLUSH_WORDS, FLUSH_GRAMS = 1_500_000, 200_000, 1_500_000
+#: Contexts of so many bytes and longer ones are dealt out; grams of shorter ones, at most 2**24 of bytes, are broadcast.
+DEALT = 3
+#: Most words whose counts are broadcast; the rest is joined.
+MAX_WORDS = 1 << 17
+#: A group of documents is closed at the first batch end after about GROUP bytes.
+GROUP, SEGMENT, FLUSH_WORDS, FLUSH_GRAMS = 8_000_000, 1_500_000, 200_000, 1_500_000
 BYTE = np.uint64(8)
 
 
@@ -60,51 +63,110 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(counts, new)
 
 
-WORD, GRAM, DOCS = 0, 1, 2
-COUNTS = "kind int, key long, n long"
+def _lower(keys: np.ndarray, order: int) -> np.ndarray:
+    """The grams of a lower order that grams end in."""
+    return keys & np.uint64((1 << 8 * (order + 1)) - 1)
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """Counts of word hashes, of byte grams of the full order and of documents, over `text`; summed in the workers and
-    again by Spark."""
+def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each gram: one for all grams whose contexts end in the same DEALT bytes."""
+    return (mix(_lower(keys, DEALT) >> BYTE) % np.uint64(parts)).astype(np.int32)
 
-    def rows(kind, keys, counts):
-        kinds = pa.array(np.full(len(keys), kind, np.int32))
-        keys = pa.array(keys.view(np.int64) if kind else keys)
-        return pa.RecordBatch.from_arrays([kinds, keys, pa.array(counts)], ["kind", "key", "n"])
+
+def _packed(values: np.ndarray) -> bytes:
+    """The number of values, and their bytes by place, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, dtype: str) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = pa.Codec("zstd").decompress(data[8:], n * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).reshape(-1)
+
+
+WORD, LOW, DOCS, DOC, ASKED = range(5)
+FIRST = (
+    "kind int, key long, n long, grp long, doc_id long, text string, held_out boolean, part int, keys binary, counts binary"
+)
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def first_pass(docs: DataFrame, parts: int) -> DataFrame:
+    """By kind: counts of word hashes, of grams of order DEALT - 1 and of documents, all of the training documents; the
+    documents, with their groups; and for each group and part the sorted grams of full order that occur in the group,
+    with their counts in its training documents."""
+
+    def rows(kind, m, **columns):
+        columns["kind"] = np.full(m, kind, np.int32)
+        fields = [c.split() for c in FIRST.split(", ")]
+        arrays = [pa.nulls(m, _TYPES[t]) if c not in columns else columns[c] for c, t in fields]
+        arrays = [x if isinstance(x, pa.Array) else pa.array(x, _TYPES[t]) for x, (_, t) in zip(arrays, fields, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, [c for c, _ in fields])
 
     def words(count):
         keys = WORD_HASH.of(list(count)).view(np.int64)
-        return rows(WORD, keys, np.fromiter(count.values(), np.int64, len(count)))
+        return rows(WORD, len(keys), key=keys, n=np.fromiter(count.values(), np.int64, len(count)))
+
+    def asked(grp, keys, counts):
+        part = _dealt(keys, parts)
+        order = np.argsort(part, kind="stable")
+        some, at = np.unique(part[order], return_index=True)
+        keys, counts = (np.split(x[order], at[1:]) for x in (keys.astype("<u8"), counts.astype("<u4")))
+        keys = [_packed(np.diff(x, prepend=np.uint64(0))) for x in keys]
+        counts = [_packed(x) for x in counts]
+        return rows(ASKED, len(some), grp=np.full(len(some), grp), part=some, keys=keys, counts=counts)
+
+    def merged(held):
+        return _summed(*map(np.concatenate, zip(*held, strict=True)))
 
     def run(batches):
-        count, held, size, n = {}, [], 0, 0
+        grp = TaskContext.get().partitionId() << 24
+        count, held, low, size, length, n = {}, [], [], 0, 0, 0
+
+        def close():
+            keys, counts = merged(held)
+            learned = counts > 0
+            low[:] = [merged([*low, (_lower(keys[learned], DEALT - 1), counts[learned])])] if learned.any() else low
+            return asked(grp, keys, counts)
+
         for batch in batches:
+            m = batch.num_rows
+            yield rows(DOC, m, grp=np.full(m, grp), **{c: batch.column(c) for c in ("doc_id", "text", "held_out")})
             texts = [(t.as_py() or "").encode() for t in batch.column("text")]
-            n += len(texts)
-            for t in texts:
+            out = batch.column("held_out").to_pylist()
+            learned = [t for t, o in zip(texts, out, strict=True) if not o]
+            n += len(learned)
+            for t in learned:
                 for w in t.lower().split():
                     count[w] = count.get(w, 0) + 1
                 if len(count) >= FLUSH_WORDS:
                     yield words(count)
                     count = {}
-            for group in _segments(texts):
-                key, _ = grams(group)
-                if len(key):
-                    held.append(np.unique(key, return_counts=True))
-                    size += len(held[-1][0])
-                if size >= FLUSH_GRAMS:
-                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
-                    if 2 * len(held[0][0]) >= FLUSH_GRAMS:
-                        yield rows(GRAM, *held.pop())
-                    size = len(held[0][0]) if held else 0
+            for some, counted in ((learned, 1), ([t for t, o in zip(texts, out, strict=True) if o], 0)):
+                for group in _segments(some):
+                    key, _ = grams(group)
+                    if len(key):
+                        keys, counts = np.unique(key, return_counts=True)
+                        held.append((keys, counts * counted))
+                        size += len(keys)
+                    if size >= FLUSH_GRAMS:
+                        held = [merged(held)]
+                        size = 0
+            length += sum(map(len, texts)) + 100 * m  # bounds the rows of a group, too
+            if length >= GROUP:
+                if held:
+                    yield close()
+                held, size, length, grp = [], 0, 0, grp + 1
         if count:
             yield words(count)
         if held:
-            yield rows(GRAM, *_summed(*map(np.concatenate, zip(*held, strict=True))))
-        yield rows(DOCS, np.zeros(1, np.uint64), np.array([n]))
+            yield close()
+        if low:
+            yield rows(LOW, len(low[0][0]), key=low[0][0].view(np.int64), n=low[0][1])
+        yield rows(DOCS, 1, n=[n])
 
-    return docs.select("text").mapInArrow(run, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, FIRST)
 
 
 def _least_count(df: DataFrame, most: int) -> int:
@@ -177,17 +239,34 @@ class Model:
         return out
 
 
-def _model(counts: DataFrame) -> Model:
-    """Lower orders are sums over all grams of the highest; then each order keeps its commonest grams within MAX_GRAMS,
-    no order keeping a gram whose shorter one is not kept."""
-    tables, least = [], 1
-    for j in range(ORDER + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")
-        t = counts.filter(F.col("kind") == GRAM).groupBy(key).agg(F.sum("n").alias("n"))
-        least = max(least, _least_count(t, MAX_GRAMS)) if j > 1 else 1
-        pdf = t.filter(F.col("n") >= least).toPandas()
-        tables.append((pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)))
-    return Model.of(tables)
+def _low_tables(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams below order DEALT and their counts; lower orders are sums over the grams of the highest."""
+    pdf = counts.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    keys, n = pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)
+    return [_table(keys, n, j) for j in range(DEALT)]
+
+
+def _table(keys: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(_lower(keys, order), counts) if len(keys) else (keys, counts)
+
+
+def _answers(asked: DataFrame, low) -> DataFrame:
+    """For each group and part the log probabilities of the grams asked for, in their order. A part has all grams of its
+    contexts, so their counts are whole."""
+
+    def run(table):
+        keys = [np.cumsum(_unpacked(x, "<u8"), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        counts = [_unpacked(x, "<u4") for x in table.column("counts").to_pylist()]
+        some, n = _summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+        learned = n > 0
+        high = [_table(some[learned], n[learned], j) for j in range(DEALT, ORDER + 1)]
+        logs = Model.of([*low.value, *high]).log10(some)
+        logs = [_packed(logs[np.searchsorted(some, k)].astype("<f8")) for k in keys]
+        columns = [table.column("grp"), table.column("part"), pa.chunked_array([pa.array(logs, pa.binary())])]
+        return pa.Table.from_arrays(columns, ["grp", "part", "logs"])
+
+    asked = asked.repartition(max(1, partitions(asked.sparkSession)), "part")
+    return asked.groupBy("part").applyInArrow(run, "grp long, part int, logs binary")
 
 
 SCORED = (
@@ -200,7 +279,8 @@ def score_documents(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
     base_score is that of single words, smoothed; score the log10 probability of the text's bytes by partial matching.
     Both learn from the documents that are not held out. Words are counted by 64-bit hashes. The commonest words'
-    counts are broadcast, up to MAX_WORDS; those of the others are joined, so all counts are whole. Null texts are
+    counts are broadcast, up to MAX_WORDS; those of the others are joined. Grams of full order are dealt out by their
+    contexts, and the groups of documents ask the parts for the log probabilities, so all counts are whole. Null texts are
     empty: an end token and no bytes. Null ids are as an empty id. Rows that repeat count as often as they are there.
     Without training documents every byte has probability 1/256. An empty table gives an empty result.
     """
@@ -208,10 +288,13 @@ def score_documents(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     small_batches(spark)
     work = Workspace(spark, "ppm")
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("held_out", held_out(F.col("doc_id")))
-    counts = work.save(corpus_counts(docs.filter("NOT held_out")), "counts")
-    words = counts.filter(F.col("kind") == WORD)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    parts = 2 * max(1, partitions(spark))
+    first = work.save(first_pass(docs, parts), "first")
+    words = first.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n"))
+    words = work.save(words, "words")
     v, tokens = words.agg(F.count("key"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ends = counts.filter(F.col("kind") == DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = first.filter(F.col("kind") == DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     v, n = v + (ends > 0), tokens + ends
     size = n + 0.1 * (v + 1)
     least = _least_count(words, MAX_WORDS)
@@ -219,38 +302,58 @@ def score_documents(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     hot_keys = hot["key"].to_numpy(np.int64)
     logs = np.log10((hot["n"].to_numpy(np.float64) + 0.1) / size)
     end_log = float(np.log10((ends + 0.1) / size))
-    shared = spark.sparkContext.broadcast((hot_keys, logs, _model(counts)))
-
-    def run(batches):
-        keys, log, model = shared.value
-        row = TaskContext.get().partitionId() << 33
-        names = [c.split()[0] for c in SCORED.split(", ")]
-        for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column("text")]
-            score = []
-            for group in _segments(texts):
-                key, ends_ = grams(group)
-                some, back = np.unique(key, return_inverse=True)
-                sums = np.concatenate([[0.0], np.cumsum(model.log10(some)[back])])
-                score.append(np.diff(sums[np.concatenate([[0], ends_])]))
-            tokens_, known, base, rare = [], [], [], []
-            for t in texts:
-                h = WORD_HASH.of(t.lower().split()).view(np.int64)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                tokens_.append(len(h) + 1)
-                known.append(int(hit.sum()) + (ends > 0))
-                base.append(float(log[at[hit]].sum()) + end_log)
-                rare.append(h[~hit])
-            m = len(texts)
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare) if m else np.empty(0, np.int64)))
-            arrays = [pa.array(np.arange(row, row + m)), batch.column("doc_id"), batch.column("held_out"), pa.array(tokens_, pa.int64())]
-            arrays += [pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(score) if m else [], pa.float64()), lists]
-            row += m
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    scored = work.save(docs.select("doc_id", "text", "held_out").mapInArrow(run, SCORED), "scored")
+    shared = spark.sparkContext.broadcast((hot_keys, logs))
+    low = spark.sparkContext.broadcast(_low_tables(first.filter(F.col("kind") == LOW)))
+    work.drop()
+    answers = _answers(first.filter(F.col("kind") == ASKED).select("grp", "part", "keys", "counts"), low)
+
+    def scores(texts, answer):
+        """Of texts of a group: sums of the log probabilities of their grams."""
+        held = []
+        for group in _segments(texts):
+            key, ends_ = grams(group)
+            some, back = np.unique(key, return_inverse=True)
+            held.append((some, back.astype(np.int32), ends_))
+        if not held:
+            return np.empty(0)
+        keys = np.unique(np.concatenate([some for some, _, _ in held]))
+        answer = sorted(zip(answer.column("part").to_pylist(), answer.column("logs").to_pylist(), strict=True))
+        found = np.concatenate([np.empty(0), *[_unpacked(x, "<f8") for _, x in answer]])
+        if len(found) != len(keys):
+            raise ValueError(f"{len(keys)} grams in a group, {len(found)} scored")
+        value = np.empty(len(keys))
+        value[np.argsort(_dealt(keys, parts), kind="stable")] = found
+        out = []
+        for some, back, ends_ in held:
+            sums = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(keys, some)][back])])
+            out.append(np.diff(sums[np.concatenate([[0], ends_])]))
+        return np.concatenate(out)
+
+    def run(group, table, answer):
+        keys, log = shared.value
+        table = table.combine_chunks()
+        texts = [(t.as_py() or "").encode() for t in table.column("text")]
+        score = scores(texts, answer)
+        tokens_, known, base, rare = [], [], [], []
+        for t in texts:
+            h = WORD_HASH.of(t.lower().split()).view(np.int64)
+            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            tokens_.append(len(h) + 1)
+            known.append(int(hit.sum()) + (ends > 0))
+            base.append(float(log[at[hit]].sum()) + end_log)
+            rare.append(h[~hit])
+        m, row = len(texts), group[0].as_py() << 17
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare) if m else np.empty(0, np.int64)))
+        arrays = [pa.array(np.arange(row, row + m)), table.column("doc_id"), table.column("held_out"), pa.array(tokens_, pa.int64())]
+        arrays += [pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), lists]
+        return pa.Table.from_arrays(arrays, [c.split()[0] for c in SCORED.split(", ")])
+
+    texts = first.filter(F.col("kind") == DOC).select("grp", "doc_id", "text", "held_out")
+    texts, answers = (x.repartition(max(1, partitions(spark)), "grp").groupBy("grp") for x in (texts, answers))
+    scored = work.save(texts.cogroup(answers).applyInArrow(run, SCORED), "scored")
+    work.drop("first")
     rare = scored.select("rid", F.explode("rare").alias("key")).join(words.filter(F.col("n") < least), "key", "left")
     value = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / F.lit(float(size)))
     sums = rare.groupBy("rid").agg(F.sum(value).alias("more"), F.count("n").alias("found"))

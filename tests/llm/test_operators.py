@@ -324,6 +324,51 @@ def test_partial_matching_by_brute_force():
         assert model.log10(key) == pytest.approx(np.log10(all_))
 
 
+def _ppm_scores(texts, learned):
+    """Of each text, the log10 probability of its bytes after all grams of the learned texts, by dictionaries."""
+    seen = {}
+    for t in learned:
+        p = b"\0" * ppm.ORDER + t
+        for i in range(ppm.ORDER, len(p)):
+            for j in range(ppm.ORDER + 1):
+                symbols = seen.setdefault(p[i - j : i], {})
+                symbols[p[i]] = symbols.get(p[i], 0) + 1
+    known = {}
+
+    def log(context, symbol):
+        out, gone = 0.0, set()
+        for j in range(ppm.ORDER + 1):
+            symbols = {s: c for s, c in seen.get(context[j:], {}).items() if s not in gone}
+            total = sum(symbols.values()) + len(symbols)
+            if symbol in symbols:
+                return out + math.log10(symbols[symbol] / total)
+            if total:
+                out += math.log10(len(symbols) / total)
+                gone |= set(symbols)
+        return out - math.log10(256 - len(gone))
+
+    sums = []
+    for t in texts:
+        p = b"\0" * ppm.ORDER + t
+        pieces = [p[i - ppm.ORDER : i + 1] for i in range(ppm.ORDER, len(p))]
+        known.update((x, log(x[:-1], x[-1])) for x in {*pieces} - known.keys())
+        sums.append(math.fsum(known[x] for x in pieces))
+    return sums
+
+
+def test_lm_score_keeps_all_grams(spark):
+    """More than 2**18 distinct grams an order, each of which counts, in several groups of documents."""
+    r = np.random.default_rng(7)
+    texts = {d: "".join(map(chr, r.integers(32, 96, 9_000))) for d in range(40)}
+    texts |= {d + 40: t[:4_000] + t[::-1][:500] for d, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in ppm.score_documents(df).collect()}
+    learned = [texts[d].encode() for d in texts if not got[d]["held_out"]]
+    assert len({t[i : i + 6] for t in learned for i in range(len(t) - 5)}) > 1 << 18
+    want = _ppm_scores([t.encode() for t in texts.values()], learned)
+    assert [got[d]["score"] for d in texts] == pytest.approx(want)
+
+
 def test_fingerprints(spark, table):
     got = _one(spark, "op9_document_fingerprints")
     order = sorted(table, reverse=True)
