@@ -411,3 +411,178 @@ def test_pipeline_stages(spark):
             n, before = docs.count(), n
             assert 0 < n <= before
     assert docs.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 4096").count() == 0
+
+
+def test_lm_score_by_brute_force(spark, table):
+    got = _one(spark, "op7_lm_scoring")
+    learned = [t.encode() for d, t in table.items() if zlib.crc32(str(d).encode()) % 10]
+    want = _ppm_scores([t.encode() for t in table.values()], learned)
+    assert [got[d]["score"] for d in table] == pytest.approx(want)
+
+
+def _license_row(text):
+    """n_words, n_base, first_word, last_word, base_labels, labels and score, by comparing words."""
+
+    def split(t):
+        return re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+
+    words = split(text)
+    places = []
+    for i in range(len(words)):
+        places += [(i, label) for phrase, label in licenses.PHRASES.items() if words[i : i + phrase.count(" ") + 1] == phrase.encode().split()]
+    labels, best = {label for _, label in places}, 0.5 if places else 0.0
+    verified = []
+    at = defaultdict(list)
+    for i in range(len(words) - 3):
+        at[tuple(words[i : i + 4])].append(i)
+    for label, template in licenses.TEMPLATES:
+        w = split(template)
+        votes = defaultdict(set)
+        for p in range(len(w) - 3):
+            for i in at[tuple(w[p : p + 4])]:
+                votes[i - p].add(p)
+        span, before = set(), None
+        for diagonal in sorted(votes):
+            span = votes[diagonal] | (span if before is not None and diagonal - before <= 3 else set())
+            before = diagonal
+            if len(span) / (len(w) - 3) >= 0.6:
+                verified.append(len(span) / (len(w) - 3))
+                labels = labels | {label}
+    base = ",".join(sorted({label for _, label in places}))
+    ends = (places[0][0], places[-1][0]) if places else (None, None)
+    return len(words), len(places), *ends, base, ",".join(sorted(labels)), max(verified, default=best)
+
+
+def test_license_scans_by_brute_force(spark, table):
+    got = _one(spark, "op6_license_scans")
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    want = {d: _license_row(t) for d, t in table.items()}
+    assert {d: tuple(r[n] for n in names) for d, r in got.items()} == want
+    assert any(w[5] for w in want.values())
+    r, texts = np.random.default_rng(4), {}
+    for _, template in licenses.TEMPLATES * 6:  # with words lost and put in, so that spans are verified in part
+        words = template.split()
+        for _ in range(r.integers(0, 6)):
+            i = r.integers(0, len(words))
+            words[i : i + r.integers(0, 2)] = ["other"] * r.integers(0, 5)
+        texts[len(texts)] = " ".join(["some", *words, "text", *template.split()[: r.integers(0, 9)]])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: tuple(x[n] for n in names) for x in licenses.scan_licenses(df).collect()}
+    assert got == {d: _license_row(t) for d, t in texts.items()}
+    assert {x[6] == 1 for x in got.values()} == {True, False} and any(0.6 <= x[6] < 0.9 for x in got.values())
+
+
+def _clean(text):
+    """The text without failing lines, or None for a document that is rejected."""
+
+    def solid(x):
+        return len(re.sub(rb"[\x20\x09-\x0D]", b"", x))
+
+    def fails(line):
+        n = solid(line)
+        return (
+            100 * len(re.findall(rb"[#*$%&|<>!]", line)) > 8 * n
+            or len(re.findall(rb"[|>]", line)) >= 3
+            or (n > 20 and 100 * len(re.findall(rb"[A-Z]", line)) > 60 * n)
+            or (len(line.split()) <= 20 and any(p.encode() in line.lower() for p in quality.BOILERPLATE))
+        )
+
+    raw = text.encode()
+    words = raw.split()
+    count = Counter(zip(words, words[1:], words[2:], strict=False))
+    repeats = {i + o for i in range(len(words) - 2) if count[*words[i : i + 3]] > 1 for o in range(3)}
+    gone = [x.strip() and fails(x) for x in raw.split(b"\n")]
+    lost = sum(solid(x) for x, g in zip(raw.split(b"\n"), gone, strict=True) if g)
+    if len(words) < 50 or 2 * len(repeats) > len(words) or 100 * lost > 30 * solid(raw):
+        return None
+    return b"\n".join(x for x, g in zip(raw.split(b"\n"), gone, strict=True) if not g).decode()
+
+
+def _without_repeats(texts, length=100):
+    seen, out = set(), {}
+    for d in sorted(texts):
+        b = texts[d].encode()
+        cover = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                cover[i : i + length] = b"\1" * length
+            seen.add(b[i : i + length])
+        kept = bytes(c for c, f in zip(b, cover, strict=True) if not f).decode(errors="ignore")
+        if not any(cover) or kept.strip(" "):
+            out[d] = kept
+    return out
+
+
+def _mix(texts, source):
+    """How often each document is taken: water filling by weights 5, 2, 1, then ids by their hash."""
+    size = {d: len(re.findall(rb"[^\x20\x09-\x0D]+", t.encode())) for d, t in texts.items()}
+    names = sorted({source[d] for d in texts}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(size[d] for d in texts if source[d] == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), 1.5 * sum(own.values())
+    while True:
+        level = left / sum(weight[s] for s in free) if free else 0
+        full = {s for s in free if 2 * own[s] <= level * weight[s]}
+        if not full:
+            break
+        target |= {s: 2.0 * own[s] for s in full}
+        left, free = left - sum(2 * own[s] for s in full), free - full
+    target |= {s: level * weight[s] for s in free}
+    taken = Counter()
+    for s in names:
+        epochs = int(target[s] // own[s]) if own[s] else 0
+        budget = math.floor(target[s]) - epochs * own[s]
+        rest, after = budget, []
+        for h, d in sorted((int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16), d) for d in texts if source[d] == s):
+            taken[d] += epochs
+            if not after and size[d] <= rest:
+                taken[d] += 1
+                rest -= size[d]
+            else:
+                after.append((abs(rest - size[d]), h, size[d], d))
+        fits = [x for x in after if 0 < x[2] < 2 * rest]
+        if fits:
+            taken[min(fits)[3]] += 1
+    return +taken
+
+
+def test_pipeline_stages_by_brute_force(spark, table):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = {r["doc_id"]: r for r in docs.collect()}
+    source = {d: r["source"] for d, r in first.items()}
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    assert len(stages) == 5
+
+    texts = {d: x for d, t in table.items() if (x := _clean(t)) is not None}
+    wanted = [Counter(texts.items())]
+    groups = _components(texts, 5, 80)
+    texts = {d: t for d, t in texts.items() if groups[d][1] == d}
+    wanted.append(Counter(texts.items()))
+    texts = _without_repeats(texts)
+    wanted.append(Counter(texts.items()))
+    taken = _mix(texts, source)
+    wanted.append(Counter({(d, texts[d]): n for d, n in taken.items()}))
+    for stage, want in zip(stages[:4], wanted, strict=True):
+        docs = spark.createDataFrame(rows := stage(spark, docs, SF).collect(), docs.schema)
+        assert Counter((r["doc_id"], r["text"]) for r in rows) == want
+        assert all(r[c] == first[r["doc_id"]][c] for r in rows for c in other)
+
+    library = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    pieces = Counter()
+    for d, n in taken.items():
+        ids = np.array([*library.encode(texts[d], add_special_tokens=False).ids, 1], "<u4")
+        for i in range(0, len(ids), 4096):
+            pieces[d, i // 4096, i, len(ids[i : i + 4096]), zlib.crc32(ids[i : i + 4096].tobytes())] += n
+    rows = stages[4](spark, docs, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == pieces
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+    bound = packing.lower_bound(np.array([r["length"] for r in rows]), 4096)
+    assert bound <= len(by_sequence) <= bound + 1
