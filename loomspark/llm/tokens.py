@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of what lies between white space.
 
 Both kinds of tokenizer split texts so that the units between white space are encoded each by itself; texts where that
-does not hold go whole to the library. A unit of Latin letters and signs takes a short way to the library's model, all
+does not hold, and those that hold one of the tokenizer's added tokens, go whole to the library. A unit of Latin letters and signs takes a short way to the library's model, all
 others its full way.
 """
 
@@ -41,13 +41,15 @@ class Ids(dict):
     use stays.
     """
 
-    def __init__(self, path: str, words: bool):
-        """words: the tokenizer lower-cases and drops white space."""
+    def __init__(self, path: str, words: bool, added: bool = False):
+        """words: the tokenizer lower-cases and drops white space. added: an added token in a text gets its one id, as by
+        the library's default; else it is plain characters."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
         self.words, self.older, self.split = words, {}, _WORD_SPLIT if words else _BYTE_SPLIT
@@ -82,6 +84,9 @@ class Ids(dict):
         return value
 
     def encode(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return self._library(text)
         if self.words:
             units = text.encode().split()
         elif _ODD_SPACE.search(text):
@@ -99,5 +104,5 @@ _LOADED: dict[tuple[str, bool], Ids] = {}
 def ids(path: str, words: bool) -> Ids:
     """One tokenizer for a worker process, loaded when first asked for."""
     if (path, words) not in _LOADED:
-        _LOADED[path, words] = Ids(path, words)
+        _LOADED[path, words] = Ids(path, words, added=True)
     return _LOADED[path, words]

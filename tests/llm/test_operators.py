@@ -586,3 +586,29 @@ def test_pipeline_stages_by_brute_force(spark, table):
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
     bound = packing.lower_bound(np.array([r["length"] for r in rows]), 4096)
     assert bound <= len(by_sequence) <= bound + 1
+
+
+MARKED = [
+    "<|endoftext|> is text", "a<|endoftext|>b  \n c", "One <|startoftext|>Two <|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", " <|endoftext|>\n<|endoftext|> ",
+]
+
+
+@pytest.mark.parametrize("name, words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_added_tokens_are_the_librarys(spark, table, name, words):
+    """Against a tokenizer as it is loaded, in the cache that the operators use and in their results."""
+    path = queries.tokenizer_path(name)
+    library = Tokenizer.from_file(path)
+
+    def of(text):
+        return library.encode(text, add_special_tokens=False).ids
+
+    mine = tokens.ids(path, words)
+    for t in [*MARKED, *table.values(), *[t for _, t in ODD if t]]:
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == of(t)
+    df = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    if words:
+        got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.token_pieces(df, path).collect()}
+    else:
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in rans.read_token_files(spark, rans.write_token_files(df, path)).collect()}
+    ids = [np.array([*of(t), 1 if words else 2], "<u4") for t in MARKED]
+    assert got == {d: (len(x), zlib.crc32(x.tobytes())) for d, x in enumerate(ids)}
