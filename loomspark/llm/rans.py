@@ -23,6 +23,8 @@ from loomspark.llm.tokens import ids
 LANES, SCALE = 512, 22
 #: A block is closed at the first document end after so many ids. Steps between checkpoints.
 BLOCK, CHECKPOINT = 65_536, 64
+#: Blocks of more checkpoint intervals are read in parts of so many.
+INTERVALS = 8
 LOW = np.uint64(1 << 31)
 W32 = np.uint64(32)
 
@@ -206,15 +208,125 @@ def _read_table(counts: DataFrame) -> Table:
     return Table(pdf["id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo that of CRC-32, lowest power in the highest bit; a is not 0."""
+    out, bit = 0, 1 << 31
+    while a:
+        if a & bit:
+            out ^= b
+            a ^= bit
+        bit >>= 1
+        b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def joined_crc32(parts) -> int:
+    """The CRC-32 of byte strings put together, of pairs of each one's CRC-32 and size."""
+    total = 0
+    for crc, size in parts:
+        shift, power = 1 << 31, 1 << 23  # x**0 and x**8
+        while size:
+            if size & 1:
+                shift = _times(power, shift)
+            power, size = _times(power, power), size >> 1
+        total = _times(shift, total) ^ crc
+    return total
+
+
+PARTS = (
+    "shard int, first_id long, ids_crc32 long, part int, n_ids long, payload binary, docs array<int>, doc_ids array<long>, "
+    "doc_lengths array<long>"
+)
+FRAGMENTS = "shard int, first_id long, ids_crc32 long, part int, part_ids long, part_crc32 long, doc int, doc_id long, n long, crc32 long"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [c for c, _ in fields])
+
+
+def _parts(blocks: DataFrame, intervals: int) -> DataFrame:
+    """Blocks as parts of at most `intervals` checkpoint intervals, each with its states, its words and what documents
+    have in it."""
+
+    def run(batches):
+        head, step = 8 * LANES, intervals * LANES * CHECKPOINT
+        for batch in batches:
+            for row in batch.to_pylist():
+                payload, marks, n = row["payload"], row["checkpoints"], row["n_ids"]
+                begins = list(range(0, n, step))
+                places, states = [0], [payload[:head]]
+                for i in range(1, len(begins)):
+                    at = (i * intervals - 1) * (8 + head)
+                    places.append(int.from_bytes(marks[at : at + 8], "little"))
+                    states.append(marks[at + 8 : at + 8 + head])
+                places.append((len(payload) - head) // 4)
+                ends = np.cumsum(row["doc_lengths"])
+                starts = ends - row["doc_lengths"]
+                for i, begin in enumerate(begins):
+                    end = min(n, begin + step)
+                    docs = np.flatnonzero((starts < end) & (ends > begin))
+                    lengths = np.minimum(ends[docs], end) - np.maximum(starts[docs], begin)
+                    words = payload[head + 4 * places[i] : head + 4 * places[i + 1]]
+                    names = [row["doc_ids"][d] for d in docs]
+                    yield _batch(
+                        [(row["shard"], row["first_id"], row["ids_crc32"], i, end - begin, states[i] + words, docs.tolist(), names, lengths.tolist())], PARTS
+                    )
+
+    return blocks.mapInArrow(run, PARTS)
+
+
+def _read_in_parts(blocks: DataFrame, shared, base: dict, intervals: int) -> DataFrame:
+    """As read_token_files, of long blocks: their parts are decoded in tasks of their own, from their checkpoints."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = decode(row["payload"], row["n_ids"], shared.value).astype("<u4").tobytes()
+                at, out = 0, []
+                same = (row["shard"], row["first_id"], row["ids_crc32"], row["part"], row["n_ids"], zlib.crc32(data))
+                for doc, d, n in zip(row["docs"], row["doc_ids"], row["doc_lengths"], strict=True):
+                    out.append((*same, doc, d, n, zlib.crc32(data[4 * at : 4 * (at + n)])))
+                    at += n
+                yield _batch(out, FRAGMENTS)
+
+    def whole(table):
+        rows = table.sort_by([("part", "ascending"), ("doc", "ascending")]).to_pylist()
+        parts = {r["part"]: (r["part_crc32"], 4 * r["part_ids"]) for r in rows}
+        shard, first = rows[0]["shard"], rows[0]["first_id"]
+        if joined_crc32(parts.values()) != rows[0]["ids_crc32"]:
+            raise ValueError(f"shard {shard}, id {first}: the checksum doesn't match")
+        docs: dict[int, list] = {}
+        for r in rows:
+            docs.setdefault(r["doc"], []).append(r)
+        at, out = base[shard] + first, []
+        for _, found in sorted(docs.items()):
+            n = sum(r["n"] for r in found)
+            crc = joined_crc32([(r["crc32"], 4 * r["n"]) for r in found]) if len(found) > 1 else found[0]["crc32"]
+            out.append((found[0]["doc_id"], at, n, crc))
+            at += n
+        return pa.Table.from_batches([_batch(out, READ)])
+
+    parts = _parts(blocks, intervals).repartition(max(1, partitions(blocks.sparkSession)), "shard", "first_id", "part")
+    return parts.mapInArrow(run, FRAGMENTS).groupBy("shard", "first_id").applyInArrow(whole, READ)
+
+
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def read_token_files(spark: SparkSession, folder: str, intervals: int = INTERVALS) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, decoded from the blocks.
 
-    A block whose ids don't match its checksum fails the job.
+    Blocks of more than `intervals` checkpoint intervals are decoded in parts. A block whose ids don't match its checksum
+    fails the job.
     """
     small_batches(spark)
     blocks = spark.read.parquet(f"{folder}/blocks")
     shared = spark.sparkContext.broadcast(_read_table(spark.read.parquet(f"{folder}/shared")))
-    totals = dict(blocks.groupBy("shard").agg(F.sum("n_ids")).collect())  # a number for each shard
+    sums = blocks.groupBy("shard").agg(F.sum("n_ids"), F.max("n_ids")).collect()  # two numbers for each shard
+    totals, most = {r[0]: r[1] for r in sums}, intervals * LANES * CHECKPOINT
     base, before = {}, 0
     for shard in sorted(totals):
         base[shard], before = before, before + totals[shard]
@@ -236,4 +348,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             names = ["doc_id", "start", "n_tokens", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    if all(r[2] <= most for r in sums):
+        return blocks.mapInArrow(run, READ)
+    short = blocks.filter(F.col("n_ids") <= most).mapInArrow(run, READ)
+    return short.unionByName(_read_in_parts(blocks.filter(F.col("n_ids") > most), shared, base, intervals))

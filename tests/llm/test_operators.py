@@ -612,3 +612,28 @@ def test_added_tokens_are_the_librarys(spark, table, name, words):
         got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in rans.read_token_files(spark, rans.write_token_files(df, path)).collect()}
     ids = [np.array([*of(t), 1 if words else 2], "<u4") for t in MARKED]
     assert got == {d: (len(x), zlib.crc32(x.tobytes())) for d, x in enumerate(ids)}
+
+
+@pytest.mark.parametrize("intervals", [rans.INTERVALS, 1])
+def test_long_blocks_are_read_in_parts(spark, intervals):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = {d: f"short {d}" for d in range(40)}
+    texts |= {7: " ".join(f"{i % 977} w{i % 89}" for i in range(90_000)), 20: "a b c " * 30_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    files = rans.write_token_files(df, path)
+    want, start = {}, 0
+    for d, t in sorted(texts.items()):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want[d] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    got = rans.read_token_files(spark, files, intervals).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: tuple(r)[1:] for r in got} == want
+    most = intervals * rans.LANES * rans.CHECKPOINT
+    blocks = spark.read.parquet(f"{files}/blocks")
+    parts = rans._parts(blocks.filter(f"n_ids > {most}"), intervals).select("part", "n_ids").collect()
+    assert len(parts) > 1 and max(r["n_ids"] for r in parts) <= most
+    blocks.withColumn("ids_crc32", blocks["ids_crc32"].bitwiseXOR(1)).write.parquet(f"{files}/bad/blocks")
+    spark.read.parquet(f"{files}/shared").write.parquet(f"{files}/bad/shared")
+    with pytest.raises(Exception, match="the checksum doesn't match"):
+        rans.read_token_files(spark, f"{files}/bad", intervals).collect()
