@@ -15,6 +15,8 @@ from loomspark.llm.tokens import ids
 CAPACITY = 4096
 #: Pieces that one packing task holds, about; and how many partitions exchange their gaps at a time.
 GROUP_PIECES, FAN_IN = 150_000, 16
+#: Functions of the family that rounds.
+ROUNDED = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -22,17 +24,21 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(
     docs: DataFrame, path: str, doc_id="doc_id", text="text", end_id: int = 1, capacity: int = CAPACITY, words=True
 ) -> DataFrame:
-    """Documents as ids and an end id, those longer than `capacity` cut into pieces of it. A null text is empty."""
+    """Documents as ids and an end id, those longer than `capacity` cut into pieces of it.
+
+    A null text is empty: a piece with the end id alone. Very long texts are encoded whole. Repeated rows, and rows of a
+    null id, give their pieces each. An empty table gives none.
+    """
     small_batches(docs.sparkSession)
     source = pick(docs, doc_id=doc_id, text=text)
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = ids(path, words).encode
+        encode = ids(path, words).encode_all
         for batch in batches:
             rows = []
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = encode(t.as_py() or "") + end
+            for d, data in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+                data += end
                 size = 4 * capacity
                 for n, i in enumerate(range(0, len(data), size)):
                     piece = data[i : i + size]
@@ -48,10 +54,19 @@ def token_pieces(
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The greatest bound of the dual-feasible functions u_k: lengths over capacity - k count as whole bins, those under
-    k as nothing, the others by their length; for every k up to half the capacity, with the middle ones one to a bin."""
+    """The greatest bound of two families of dual-feasible functions.
+
+    One counts lengths over capacity - k as whole bins, those under k as nothing, the others by their length; for every k
+    up to half the capacity, with the middle ones one to a bin. The other rounds down to k-ths of a bin what is no whole
+    number of (k + 1)-ths, for k up to ROUNDED.
+    """
     if not len(lengths):
         return 0
+    sizes, times = np.unique(lengths, return_counts=True)
+    k = np.arange(1, ROUNDED + 1)[:, None]
+    parts = (k + 1) * sizes
+    worth = np.where(parts % capacity, parts // capacity * capacity, k * sizes)
+    rounded = int((-(-(worth @ times) // (k[:, 0] * capacity))).max())
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     number = np.concatenate([[0], np.cumsum(count)])  # number[i]: lengths below i
     total = np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
@@ -62,7 +77,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     middle_sum = total[capacity - k + 1] - total[half]
     small_sum = total[half] - total[k]
     rest = np.maximum(0, small_sum - (middle * capacity - middle_sum))
-    return int((big + middle + -(-rest // capacity)).max())
+    return max(rounded, int((big + middle + -(-rest // capacity)).max()))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -100,11 +115,14 @@ def length_bound(pieces: DataFrame, capacity: int = CAPACITY) -> int:
     return full + lower_bound(lengths.astype(np.int64), capacity)
 
 
-def _emptiest(bins: np.ndarray, room: np.ndarray, quota: int) -> np.ndarray:
-    """Marks the pieces of the emptiest bins with a gap, up to `quota` pieces."""
+def _emptiest(bins: np.ndarray, room: np.ndarray, quota: int, certified: bool) -> np.ndarray:
+    """Marks the pieces of the emptiest bins with a gap, up to `quota` pieces. A certified partition can't do with fewer
+    bins by itself: it opens the emptiest one only, which may fit into the gaps of others."""
     held = np.bincount(bins, minlength=len(room))
     order = np.argsort(-room, kind="stable")
     passed = (np.cumsum(held[order]) <= quota) & (room[order] > 0)
+    if certified:
+        passed[1:] = False
     out = np.zeros(len(room), bool)
     out[order[passed]] = True
     return out[bins]
@@ -122,19 +140,23 @@ def _repack(table: pa.Table, capacity: int, quota: int) -> pa.Table:
             bins, offsets, opened = old_bins.reshape(-1), table.column("offset").to_numpy(), old.shape[1]
     room = capacity - np.bincount(bins, weights=lengths, minlength=opened).astype(np.int64)
     names = [c.split()[0] for c in PIECES.split(", ")]
-    extra = {"part": table.column("part"), "bin": bins, "offset": offsets, "open": _emptiest(bins, room, quota)}
+    extra = {"part": table.column("part"), "bin": bins, "offset": offsets, "open": _emptiest(bins, room, quota, opened == bound)}
+    extra |= {"group_bins": np.full(len(bins), opened), "group_bound": np.full(len(bins), bound)}
     return pa.table({n: table.column(n) for n in names} | extra)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset. Pieces of the full capacity are sequences by themselves.
-
-    The others are dealt by hash into partitions of about `group_pieces`, each packed best fit decreasing and held
-    against the lower bound of its lengths. Unless the whole meets its bound, FAN_IN partitions at a time exchange the
-    pieces of their emptiest bins, which are packed anew, and so on until the bound is met or one group is left. A
-    repacking that needs no fewer bins, and isn't certified, is dropped for the old one. Every group is of bounded size, and each round moves a
-    FAN_IN-th of the pieces of the one before. An empty table gives an empty result; repeated rows are packed each by
-    itself; ties go by id and piece, so reruns need as many sequences.
+    """Adds sequence_id, offset, and group_bins and group_bound: how many sequences the partition needed in which the
+    piece was last packed, and how many it needs at least; where they are equal, they are certified.
+
+    Pieces of the full capacity are sequences by themselves. The others are dealt by hash into partitions of about
+    `group_pieces`, each packed best fit decreasing and held against the lower bound of its lengths. Unless the whole
+    meets its bound, FAN_IN partitions at a time exchange the pieces of their emptiest bins (certified ones those of one
+    bin), which are packed anew, and so on until the bound is met or one group is left. A repacking that needs no fewer
+    bins, and isn't certified, is dropped for the old one. Rows are dealt out by their place in the table too, so that
+    repeated ids don't meet in one group: every group is of bounded size, and each round moves a FAN_IN-th of the pieces
+    of the one before. An empty table gives an empty result; repeated rows are packed each by itself; ties go by id and
+    piece.
     """
     work = Workspace(pieces.sparkSession, "packing")
     pieces = work.save(pieces, "pieces")
@@ -143,15 +165,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     n = short.count()
     groups = max(1, -(-n // group_pieces))
     quota = group_pieces // FAN_IN
-    schema = f"{PIECES}, part long, bin long, offset long, open boolean"
-    columns = [c.split()[0] for c in PIECES.split(", ")]
+    schema = f"{PIECES}, part long, bin long, offset long, open boolean, group_bins long, group_bound long"
+    columns, extra = [c.split()[0] for c in PIECES.split(", ")], ("offset", "group_bins", "group_bound")
 
     def run(table: pa.Table) -> pa.Table:
         return _repack(table, capacity, quota)
 
     out = pieces.filter(F.col("length") >= capacity)
-    out = out.select(*columns, (F.monotonically_increasing_id() + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    dealt = short.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    out = out.select(*columns, (F.monotonically_increasing_id() + (1 << 62)).alias("sequence_id"), *[F.lit(x).cast("long").alias(c) for x, c in zip((0, 1, 1), extra, strict=True)])
+    place = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())  # pieces are saved: the same in every attempt
+    dealt = short.withColumn("part", F.pmod(place, F.lit(groups)))
     packed = work.save(dealt.groupBy("part").applyInArrow(run, schema), "round0")
     used = pieces.count() - n + packed.filter("offset = 0").count()
     step = 0
@@ -159,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         last = groups == 1 or used == bound
         ids_ = F.lit(step << 57) + F.shiftleft("part", 24) + F.col("bin")
         settled = packed if last else packed.filter("NOT open")
-        out = out.unionByName(settled.select(*columns, ids_.alias("sequence_id"), "offset"))
+        out = out.unionByName(settled.select(*columns, ids_.alias("sequence_id"), *extra))
         if last:
             return out
         step, groups = step + 1, -(-groups // FAN_IN)
