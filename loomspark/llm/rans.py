@@ -17,14 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Workspace, partitions, pick, small_batches
+from loomspark.llm.common import Workspace, partitions, pick, small_batches, trimmed
 from loomspark.llm.tokens import ids
 
-LANES, SCALE = 512, 22
+LANES, SCALE = 1024, 20
 #: A block is closed at the first document end after so many ids. Steps between checkpoints.
-BLOCK, CHECKPOINT = 65_536, 64
+BLOCK, CHECKPOINT = 196_608, 64
 #: Blocks of more checkpoint intervals are read in parts of so many.
-INTERVALS = 8
+INTERVALS = 4
 LOW = np.uint64(1 << 31)
 W32 = np.uint64(32)
 
@@ -56,7 +56,8 @@ class Table:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            kind = np.uint16 if len(self.freq) <= 1 << 16 else np.uint32
+            self._slots = np.repeat(np.arange(len(self.freq), dtype=kind), self.freq.astype(np.int64))
         return self._slots
 
 
@@ -125,29 +126,38 @@ BLOCKS = "shard int, first_id long, doc_ids array<long>, doc_lengths array<long>
 
 
 def _raw_blocks(docs: DataFrame, path: str, doc_id: str, text: str, end_id: int, words: bool) -> DataFrame:
-    """Range-partitions by id and encodes in order; first_id counts ids within the shard, the partition's number."""
+    """Range-partitions by id and encodes in order; first_id counts ids within the shard, the partition's number.
+
+    Ids are stored in two bytes where all of the vocabulary fit. A shard's last row is no block: n_ids is null, and
+    doc_ids has the ids that occur in the shard, doc_lengths how often, so that counting them reads these columns only.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    order = F.col("doc_id").asc_nulls_first()
-    source = pick(docs, doc_id=doc_id, text=text).repartitionByRange(max(partitions(spark), 1), order)
-    source = source.sortWithinPartitions(order)
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")  # the hash splits an id that many rows have
+    source = pick(docs, doc_id=doc_id, text=text).repartitionByRange(max(partitions(spark), 1), *order)
+    source = source.sortWithinPartitions(*order)
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode_text, shard, first = ids(path, words).encode, TaskContext.get().partitionId(), 0
-        names, lengths, held, size = [], [], [], 0
+        tokenizer, shard, first = ids(path, words), TaskContext.get().partitionId(), 0
+        kind = "<u2" if tokenizer.size <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        names, lengths, held, size, total = [], [], [], 0, np.zeros(0, np.int64)
 
-        def block():
-            n = size // 4
-            values = [[shard], [first], [names], [lengths], [n], [b"".join(held)]]
+        def row(*values):
             types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(values, types, strict=True)], [c.split()[0] for c in RAW.split(", ")]
-            )
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [c.split()[0] for c in RAW.split(", ")])
+
+        def block():
+            nonlocal total
+            data = np.frombuffer(b"".join(held), "<u4")
+            part = np.bincount(data, minlength=len(total))
+            part[: len(total)] += total
+            total = part
+            return row(shard, first, names, lengths, len(data), data.astype(kind).tobytes())
 
         for batch in batches:
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = encode_text(t.as_py() or "") + end
+            for d, data in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_all(batch.column("text").to_pylist()), strict=True):
+                data += end
                 names.append(d), lengths.append(len(data) // 4), held.append(data)
                 size += len(data)
                 if size >= 4 * BLOCK:
@@ -156,8 +166,11 @@ def _raw_blocks(docs: DataFrame, path: str, doc_id: str, text: str, end_id: int,
                     names, lengths, held, size = [], [], [], 0
         if held:
             yield block()
+        some = np.flatnonzero(total)
+        if len(some):
+            yield row(shard, first + size // 4, some, total[some], None, b"")
 
-    return source.mapInArrow(run, RAW)
+    return source.mapInArrow(trimmed(run), RAW)
 
 
 def write_token_files(docs: DataFrame, path: str, doc_id="doc_id", text="text", end_id: int = 2, words=False) -> str:
@@ -171,34 +184,25 @@ def write_token_files(docs: DataFrame, path: str, doc_id="doc_id", text="text",
     raw = work.save(_raw_blocks(docs, path, doc_id, text, end_id, words), "raw")
     work.drop()
 
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids_ in batch.column("ids"):
-                part = np.bincount(np.frombuffer(ids_.as_buffer(), "<u4"))
-                if len(part) > len(total):
-                    part, total = total, part
-                total[: len(part)] += part
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
-
-    counts = raw.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts = work.save(counts.coalesce(1).sortWithinPartitions("id"), "shared")
+    occur = F.explode(F.arrays_zip(F.col("doc_ids").alias("id"), F.col("doc_lengths").alias("n"))).alias("x")
+    counts = raw.filter("n_ids IS NULL").select(occur).groupBy("x.id").agg(F.sum("x.n").alias("n"))
+    counts = work.save(counts.repartition(1).sortWithinPartitions("id"), "shared")
     shared = docs.sparkSession.sparkContext.broadcast(_read_table(counts))
 
     def run(batches):
         table = shared.value
         for batch in batches:
             coded = []
-            for ids_ in batch.column("ids"):
+            for ids_, n in zip(batch.column("ids"), batch.column("n_ids").to_pylist(), strict=True):
                 data = ids_.as_buffer()
-                coded.append((zlib.crc32(data), *encode(np.frombuffer(data, "<u4"), table)))
+                data = np.frombuffer(data, "<u2" if data.size == 2 * n else "<u4").astype("<u4")
+                coded.append((zlib.crc32(data), *encode(data, table)))
             crc, payload, marks = zip(*coded, strict=True) if coded else ((), (), ())
             arrays = [batch.column(c) for c in ("shard", "first_id", "doc_ids", "doc_lengths", "n_ids")]
             arrays += [pa.array(crc, pa.int64()), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in BLOCKS.split(", ")])
 
-    work.save(raw.mapInArrow(run, BLOCKS), "blocks")
+    work.save(raw.filter("n_ids IS NOT NULL").mapInArrow(trimmed(run), BLOCKS), "blocks")
     work.drop("raw")
     return work.root
 
@@ -349,6 +353,6 @@ def read_token_files(spark: SparkSession, folder: str, intervals: int = INTERVAL
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     if all(r[2] <= most for r in sums):
-        return blocks.mapInArrow(run, READ)
-    short = blocks.filter(F.col("n_ids") <= most).mapInArrow(run, READ)
+        return blocks.mapInArrow(trimmed(run), READ)
+    short = blocks.filter(F.col("n_ids") <= most).mapInArrow(trimmed(run), READ)
     return short.unionByName(_read_in_parts(blocks.filter(F.col("n_ids") > most), shared, base, intervals))
