@@ -381,7 +381,8 @@ def test_fingerprints(spark, table):
             w = re.findall(r"[^\x20\x09-\x0D]+", x.lower())
             sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
         for name, other in (("near_edited", sets[1]), ("near_next", sets[2])):
-            assert abs(got[d][name] - len(sets[0] & other) / max(1, len(sets[0] | other))) < 0.3
+            size = len(sets[0] | other)
+            assert abs(got[d][name] - len(sets[0] & other) / max(1, size)) < max(0.03, 5 * 0.5 / max(1, size / 4) ** 0.5)
     by_text = defaultdict(set)
     for d, t in table.items():
         by_text[t].add(got[d]["fingerprint"])
