@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomspark.functions.text import SPACE, single_spaced
+
 #: The bounds of a snippet and of a clipped prefix, in UTF-16 units and bytes.
 SNIPPET, CLIP = (320, 1280), (256, 1024)
 DOTS = "…"
@@ -49,12 +51,12 @@ def snippet(text: str, at: int, length: int, bounds: tuple[int, int] = SNIPPET)
 
 
 def clip(text: str, bounds: tuple[int, int] = CLIP) -> str:
-    """The longest prefix that fits, with dots if it was cut."""
+    """The longest prefix that fits, with dots if it was cut; white space before them goes."""
     units, octets = _sums(text)
     if units[-1] <= bounds[0] and octets[-1] <= bounds[1]:
         return text
     n = min(bisect_right(units, bounds[0] - 1), bisect_right(octets, bounds[1] - 3)) - 1
-    return text[:n] + DOTS
+    return text[:n].rstrip(SPACE) + DOTS
 
 
 def find(text: str, literal: str) -> tuple[int, int] | None:
@@ -71,6 +73,14 @@ def _snippets(text: pd.Series, literal: pd.Series) -> pd.Series:
 
 def snippets(text: Column, literal: Column) -> Column:
     """Null where the literal is not in the text. White space is single before the search."""
-    from loomspark.functions.text import single_spaced
-
     return _snippets(single_spaced(text), single_spaced(literal))
+
+
+@F.pandas_udf(StringType())
+def _clips(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else clip(t) for t in text], dtype=object)
+
+
+def clips(text: Column) -> Column:
+    """Prefixes with dots, of text with single white space."""
+    return _clips(single_spaced(text))

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 #: Events kept, those of a pair that count in its own mode, and the gates as (numerator, denominator).
 RETAINED, PAIR_EVENTS, MIN_OPPORTUNITIES, MIN_SHARED = 200, 24, 12, 6
-OVERLAP, ACCOMPANIMENT = (3, 5), (3, 10)
+ACCOMPANIMENT, OVERLAP = (3, 5), (3, 10)
 #: Pairs that a selector gives, annotations, and by how many shared events the best must lead.
 SELECTED, ANNOTATIONS, LEAD = 4, 2, 2
 
 
-def retain(events: DataFrame, eligible: int) -> DataFrame:
-    """The newest RETAINED events (pos, paths) that have a path and are no bulk change."""
-    bulk = min(100, max(20, eligible // 5))
-    kept = events.filter((F.size("paths") > 0) & (F.size("paths") <= bulk)).orderBy("pos").limit(RETAINED)
-    return kept.withColumn("p", F.row_number().over(Window.orderBy("pos")) - 1).select("p", "paths")
+#: Pairs within events beyond which no answer is given.
+MAX_OBSERVATIONS = 250_000
+#: Selectors by whether a pair's opportunities are its own newest events or all that are retained.
+MODES = {"pair-relative-v1": True, "repository-window-v1": False}
+
+
+def bulk_limit(eligible: int) -> int:
+    """Eligible paths beyond which a revision is a bulk change."""
+    return min(100, max(20, eligible // 5))
 
 
 def parent(path):
@@ -56,33 +60,58 @@ def gated(stats: DataFrame) -> DataFrame:
     """Pairs that pass all gates; fractions are compared in whole numbers."""
     u, c, low = F.col("opportunities"), F.col("shared"), F.least("left", "right")
     return stats.filter(
-        (u >= MIN_OPPORTUNITIES) & (c >= MIN_SHARED) & (c * OVERLAP[1] >= low * OVERLAP[0])
-        & (c * ACCOMPANIMENT[1] >= u * ACCOMPANIMENT[0]) & (F.col("band0") > 0) & (F.col("band1") > 0) & (F.col("band2") > 0)
+        (u >= MIN_OPPORTUNITIES) & (c >= MIN_SHARED) & (c * ACCOMPANIMENT[1] >= low * ACCOMPANIMENT[0])
+        & (c * OVERLAP[1] >= u * OVERLAP[0]) & (F.col("band0") > 0) & (F.col("band1") > 0) & (F.col("band2") > 0)
     )
 
 
-def ordered(candidates: DataFrame) -> list[Row]:
-    """The gated pairs, best first: by support, share of opportunities, accompaniment, paths. They are bounded: RETAINED
-    events of at most 100 paths have at most 990,000 pairs in all, and each pair needs MIN_SHARED of them."""
-    share = F.col("shared") / F.col("opportunities")
+def _order() -> list:
+    """Best first: support, overlap (shared of opportunities), accompaniment (shared of the rarer path's events), paths.
+    Quotients of whole numbers as small as these are equal only if the fractions are."""
+    overlap = F.col("shared") / F.col("opportunities")
     company = F.col("shared") / F.least("left", "right")
-    return candidates.orderBy(F.col("support").desc(), share.desc(), company.desc(), "a", "b").collect()
+    return [F.col("support").desc(), overlap.desc(), company.desc(), F.col("a"), F.col("b")]
+
+
+def ordered(candidates: DataFrame) -> list[Row]:
+    """Gated pairs, best first, of a list that is small."""
+    return candidates.orderBy(*_order()).collect()
 
 
 def selected(candidates: DataFrame) -> list[Row]:
-    """The first pairs in order, SELECTED at most, that use no path twice."""
+    """The first pairs in order, SELECTED at most, that use no path twice. Each step fetches the best pair without the
+    paths used so far."""
     out, used = [], set()
-    for row in ordered(candidates):
-        if len(out) < SELECTED and used.isdisjoint((row.a, row.b)):
-            out.append(row)
-            used |= {row.a, row.b}
+    while len(out) < SELECTED:
+        left = candidates.filter(~F.col("a").isin(*used) & ~F.col("b").isin(*used)) if used else candidates
+        row = left.orderBy(*_order()).limit(1).collect()
+        if not row:
+            break
+        out += row
+        used |= {row[0].a, row[0].b}
+    return out
+
+
+def select_candidates(events: DataFrame, pair_relative: bool) -> dict:
+    """status, reason, observations (pairs within events), qualified (gated pairs) and candidates, over retained events
+    (p, paths). Abstains above MAX_OBSERVATIONS."""
+    support = pair_support(events).persist()
+    n = support.agg(F.sum("support")).first()[0] or 0
+    if n > MAX_OBSERVATIONS:
+        return {"status": "abstained", "reason": "pair-observation-limit", "observations": MAX_OBSERVATIONS + 1, "qualified": 0, "candidates": []}
+    often = support.filter(F.col("support") >= MIN_SHARED)
+    found = gated(pair_stats(events, often, pair_relative)).join(often, ["a", "b"]).persist()
+    out = {"status": "ok", "reason": None, "observations": n, "qualified": found.count(), "candidates": selected(found)}
+    found.unpersist()
+    support.unpersist()
     return out
 
 
 def annotations(routes: list[tuple[str, bool]], candidates: DataFrame) -> list[tuple[str, str]]:
     """(route, companion) for the first routes, ANNOTATIONS at most, that stand by themselves and whose best candidate
     leads the next by LEAD events or has none beside it. No path is used twice."""
-    best, out, used = ordered(candidates), [], set()
+    names = [r for r, _ in routes]
+    best, out, used = ordered(candidates.filter(F.col("a").isin(*names) | F.col("b").isin(*names))), [], set()
     for route, justified in routes:
         if len(out) == ANNOTATIONS:
             break

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import digest, row_key
+from loomspark.functions.text import digest, row_key, token_list
 from loomspark.operators import cochange
-from loomspark.plans import search, verify
+from loomspark.plans import evidence, records, search, verify
 from loomspark.plans.search import Filters, Request
-from loomspark.sources.tables import conversation_documents, table, with_tokens
+from loomspark.sources.tables import conversation_documents, conversation_store, source_store, table, with_tokens
 from loomspark.sources.views import delta
 
 LITERALS = ("the", "of the", "in", "la", "de")
 REQUEST = Request(LITERALS)
-STOP_PATHS = ("a", "and", "for", "from", "in", "is", "it", "of", "on", "that", "the", "to", "with", "as", "at", "by")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +26,7 @@ def _score(name="score"):
 
 def _sources(filters: Filters = Filters(), depth: int = 100):
     def query(spark, sf_dir):
-        out = search.sources(_docs(spark, sf_dir), Request(LITERALS, depth, 20, filters))
+        out = search.sources(conversation_store(spark, sf_dir), Request(LITERALS, depth, 20, filters))
         return out.select("ordinal", "rank", "session_id", "seq", _score())
 
     return query
@@ -40,44 +39,44 @@ def tokenize_stats(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    return search.corpus_stats(_docs(spark, sf_dir)).select("n", F.round("avgdl", 9).alias("avgdl"))
+    return search.corpus_stats(conversation_store(spark, sf_dir)).select("n", F.round("avgdl", 9).alias("avgdl"))
 
 
 def phrase_tf(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return search.phrase_frequencies(docs, ["session_id", "seq"], search.literal_terms(docs, LITERALS))
+    corpus = search.Scanned(_docs(spark, sf_dir))
+    return search.phrase_frequencies(corpus, [token_list(x) for x in LITERALS])
 
 
 def bm25_single(spark, sf_dir):
-    out = search.raw_hits(_docs(spark, sf_dir), Request(LITERALS[1:2]))
+    out = search.raw_hits(conversation_store(spark, sf_dir), Request(LITERALS[1:2]))
     return out.select("place", "session_id", "seq", "tf", _score())
 
 
 def truncation_report(spark, sf_dir):
-    return search.truncation(_docs(spark, sf_dir), Request(LITERALS, 40))
+    return search.truncation(conversation_store(spark, sf_dir), Request(LITERALS, 40))
 
 
 def rrf_fused(spark, sf_dir):
-    return search.fused(_docs(spark, sf_dir), REQUEST).select("position", "session_id", F.round("score", 9).alias("score"))
+    return search.fused(conversation_store(spark, sf_dir), REQUEST).select("position", "session_id", F.round("score", 9).alias("score"))
 
 
 def rrf_contributions(spark, sf_dir):
-    out = search.fused(_docs(spark, sf_dir), REQUEST).select("session_id", F.explode("parts").alias("x"))
+    out = search.fused(conversation_store(spark, sf_dir), REQUEST).select("session_id", F.explode("parts").alias("x"))
     return out.select("session_id", "x.ordinal", "x.rank")
 
 
 def view_conversation_search(spark, sf_dir):
-    out = search.fused(_docs(spark, sf_dir), REQUEST)
+    out = search.fused(conversation_store(spark, sf_dir), REQUEST)
     ordinals = F.array_join(F.transform("parts", lambda x: x["ordinal"].cast("string")), ",")
     return out.select("position", "session_id", ordinals.alias("ordinals"), "evidence.rank", "evidence.ordinal", "evidence.seq", "evidence.event_type")
 
 
 def session_best_top101(spark, sf_dir):
-    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("body")))
-    hits = search.scored(docs, ("the",), keys=("doc_id",), extra=0)
-    best = Window.partitionBy("source").orderBy(F.col("score").desc(), F.col("doc_id").desc())
+    hits = search.scored(source_store(spark, sf_dir), ("the",))
+    best = Window.partitionBy("session_id").orderBy(F.col("score").desc(), F.col("seq").desc())
     top = hits.withColumn("k", F.row_number().over(best)).filter("k = 1")
-    return top.orderBy(F.col("score").desc(), "source").limit(101).select("source", "doc_id", _score())
+    top = top.orderBy(F.col("score").desc(), "session_id").limit(101)
+    return top.select(F.col("session_id").alias("source"), F.col("event_time_unix_ms").alias("doc_id"), _score())
 
 
 def session_cursors(spark, sf_dir):
@@ -98,25 +97,8 @@ def contiguity_check(spark, sf_dir):
     return docs.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.col("gap").cast("int")).alias("gaps"))
 
 
-def exact_range(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "O") & F.col("o_orderkey").between(100, 9000))
-    return o.orderBy("o_orderkey").limit(32).select(F.col("o_orderstatus").alias("exact_key"), F.col("o_orderkey").alias("ordinal"))
-
-
-def change_heat(spark, sf_dir):
-    newest = table(spark, sf_dir, "events").select("event_id", "event_type").orderBy(F.col("event_id").desc()).limit(200)
-    return newest.groupBy(F.col("event_type").alias("path")).agg(F.count("*").alias("touches"))
-
-
-def link_fan_in(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
-    return pages.groupBy("target").agg(F.count_distinct("page_id").alias("importers"))
-
-
 def _retained(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+").alias("w"))
-    paths = F.transform(F.array_sort(F.array_intersect("w", F.array(*[F.lit(x) for x in STOP_PATHS]))), lambda x: F.concat(F.substring(x, 1, 1), F.lit("/"), x))
-    return cochange.retain(docs.select((-F.col("doc_id")).alias("pos"), paths.alias("paths")), 100)
+    return evidence.retained(spark, sf_dir).events
 
 
 def retained_events(spark, sf_dir):
@@ -140,24 +122,17 @@ def gated_candidates(spark, sf_dir):
     return cochange.gated(_stats(False)(spark, sf_dir))
 
 
-def selected_candidates(spark, sf_dir):
-    kept = _retained(spark, sf_dir)
-    support = cochange.pair_support(kept).filter(F.col("support") >= cochange.MIN_SHARED)
-    rows = cochange.selected(cochange.gated(cochange.pair_stats(kept, support, False)).join(support, ["a", "b"]))
-    return spark.createDataFrame([(i, r.a, r.b, r.support) for i, r in enumerate(rows)], "place int, a string, b string, support long")
-
-
 def verified_candidates(spark, sf_dir):
-    return verify.verified(_docs(spark, sf_dir), conversation_documents(spark, sf_dir), REQUEST)
+    return verify.verified(conversation_store(spark, sf_dir), conversation_documents(spark, sf_dir), REQUEST)
 
 
 def snippets(spark, sf_dir):
-    return verify.with_snippets(_docs(spark, sf_dir), conversation_documents(spark, sf_dir), REQUEST)
+    return verify.with_snippets(conversation_store(spark, sf_dir), conversation_documents(spark, sf_dir), REQUEST)
 
 
 def shadow_parity(spark, sf_dir):
     """The fused answer of depth 100 against that of depth 40."""
-    docs = _docs(spark, sf_dir)
+    docs = conversation_store(spark, sf_dir)
     return verify.parity(search.fused(docs, REQUEST), search.fused(docs, Request(LITERALS, 40)), ["session_id"])
 
 
@@ -179,7 +154,7 @@ def document_digests(spark, sf_dir):
 def latency_percentiles(spark, sf_dir):
     shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     e = table(spark, sf_dir, "events")
-    return e.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(n) for n, p in shares.items()], F.min("value").alias("least"), F.max("value").alias("most"))
+    return e.agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(n) for n, p in shares.items()], F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 def checkpoint_skip(spark, sf_dir):
@@ -190,12 +165,6 @@ def checkpoint_skip(spark, sf_dir):
     return now.join(stored, ["session_id", "next_seq"], "left_anti")
 
 
-def replay_delta(spark, sf_dir):
-    """What a second batch adds when the first held the turns before the third."""
-    docs = conversation_documents(spark, sf_dir).select("session_id", "seq")
-    return docs.join(docs.filter("seq < 2"), ["session_id", "seq"], "left_anti")
-
-
 FILTERS = {
     "filter_workspace_surface_type": Filters(workspaces=("/ws/1", "/ws/2", "/ws/3"), surfaces=("current",), event_types=("user/message", "assistant/message")),
     "filter_sessions_include_exclude": Filters(include=tuple(f"conv-{i:08d}" for i in range(60)), exclude=("conv-00000003", "conv-00000005")),
@@ -217,9 +186,9 @@ def queries():
     plain = (
         tokenize_stats, corpus_stats, phrase_tf, bm25_single, truncation_report, rrf_fused, rrf_contributions,
         scope_restricted, view_conversation_search, session_best_top101, session_cursors, session_last_update,
-        contiguity_check, exact_range, change_heat, link_fan_in, retained_events, pair_support, gated_candidates,
-        selected_candidates, verified_candidates, snippets, shadow_parity, view_after_delta, document_digests, latency_percentiles, checkpoint_skip, replay_delta,
+        contiguity_check, retained_events, pair_support, gated_candidates,
+        verified_candidates, snippets, shadow_parity, view_after_delta, document_digests, latency_percentiles, checkpoint_skip,
     )
     found = {f.__name__: f for f in plain} | {"bm25_five_sources": _sources()}
     found |= {"pair_stats_repository_window": _stats(False), "pair_stats_pair_relative": _stats(True)}
-    return found | {name: _sources(f) for name, f in FILTERS.items()}
+    return found | {name: _sources(f) for name, f in FILTERS.items()} | evidence.queries() | records.queries()

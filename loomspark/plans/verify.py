@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.snippets import snippets
@@ -13,17 +13,28 @@ from loomspark.plans import search
 POINTERS = 256
 
 
-def pointers(docs: DataFrame, request: search.Request) -> DataFrame:
-    """The hits behind the fused sessions, one row for each contribution; the first POINTERS by ordinal and rank."""
-    top = search.fused(docs, request).select("position", "session_id")
-    hits = search.sources(docs, request).join(F.broadcast(top), "session_id")  # at most as many as the request's limit
-    place = F.row_number().over(Window.orderBy("ordinal", "rank"))
-    return hits.withColumn("k", place).select(
-        "position", "session_id", "ordinal", "rank", "seq", "event_type", "surface", "event_time_unix_ms", (F.col("k") <= POINTERS).alias("asked")
-    )
+def pointers(docs: search.Corpora, request: search.Request) -> DataFrame:
+    """The hits behind the fused sessions, one row for each contribution; the first POINTERS by ordinal and rank are asked
+    for. A contribution and its hit are the same session, ordinal and rank. The request's limit and number of literals bound
+    the rows."""
+    found = search.find(docs, request)
+    position = {r[0]: r[4] for r in search.fuse(found)}
+    rows = []
+    for ordinal, hits in enumerate(found.ranked):
+        for rank, r in enumerate(hits, 1):
+            if r["session_id"] in position:
+                asked = len(rows) < POINTERS
+                rows.append((position[r["session_id"]], r["session_id"], ordinal, rank, r["seq"], r["event_type"], r["surface"], r["event_time_unix_ms"], asked))
+    names = "position int, session_id string, ordinal int, rank int, seq long, event_type string, surface string, event_time_unix_ms long, asked boolean"
+    return found.spark.createDataFrame(rows, names)
 
 
-def checked(docs: DataFrame, authority: DataFrame, request: search.Request) -> DataFrame:
+def quoted(literal: str) -> str:
+    """A pattern that matches the literal, with single white space, without regard to case."""
+    return "(?iu)\\Q" + " ".join(literal.split()).replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def checked(docs: search.Corpora, authority: DataFrame, request: search.Request) -> DataFrame:
     """pointers with `body` and `ok`: the document is there, of the type, surface and time that the index has, on an
     allowed surface, and has the literal. A pointer that was not asked for is not ok."""
     keys = ["session_id", "seq"]
@@ -33,19 +44,21 @@ def checked(docs: DataFrame, authority: DataFrame, request: search.Request) -> D
     rows = asked.join(F.broadcast(found), keys, "left")
     literal = F.element_at(F.array(*[F.lit(x) for x in request.literals]), F.col("ordinal") + 1)
     surface = F.col("surface").isin(*request.filters.surfaces) if request.filters.surfaces else F.lit(True)
-    has = F.contains(F.lower(single_spaced(F.col("body"))), F.lower(single_spaced(literal)))
+    body, has = single_spaced(F.col("body")), F.lit(False)
+    for i, x in enumerate(request.literals):
+        has = F.when(F.col("ordinal") == i, body.rlike(quoted(x))).otherwise(has)
     same = (F.col("t") == F.col("event_type")) & (F.col("s") == F.col("surface")) & (F.col("at") == F.col("event_time_unix_ms"))
     return rows.withColumn("literal", literal).withColumn("ok", F.coalesce(F.col("asked") & surface & same & has, F.lit(False)))
 
 
-def verified(docs: DataFrame, authority: DataFrame, request: search.Request) -> DataFrame:
+def verified(docs: search.Corpora, authority: DataFrame, request: search.Request) -> DataFrame:
     """position, session_id, evidence (different documents) of the sessions all of whose contributions hold."""
     rows = checked(docs, authority, request)
     out = rows.groupBy("position", "session_id").agg(F.bool_and("ok").alias("ok"), F.count_distinct("seq").alias("evidence"))
     return out.filter("ok").drop("ok")
 
 
-def with_snippets(docs: DataFrame, authority: DataFrame, request: search.Request) -> DataFrame:
+def with_snippets(docs: search.Corpora, authority: DataFrame, request: search.Request) -> DataFrame:
     return checked(docs, authority, request).filter("ok").select("position", "session_id", "ordinal", "seq", snippets(F.col("body"), F.col("literal")).alias("snippet"))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,30 +43,34 @@ class ViewStore:
             self.log.create(identity)
         self.log.check(identity)
 
+    def _live(self) -> dict[str, dict]:
+        """The last entry of each partition that is there."""
+        last = {e["partition"]: e for e in self.log.load() if e["partition"] is not None}
+        return {k: e for k, e in last.items() if e["kind"] != "delete"}
+
     def checkpoints(self, keys: list[str] | None = None) -> DataFrame:
         """The last entry of each live partition."""
         if keys is not None and len(keys) > MAX_PARTITIONS:
             raise InvalidBatch("too many partitions")
-        last = Window.partitionBy("partition").orderBy(F.col("generation").desc())
-        rows = self.log.entries().filter("partition IS NOT NULL")
-        rows = rows if keys is None else rows.filter(F.col("partition").isin(keys))
-        rows = rows.withColumn("k", F.row_number().over(last)).filter("k = 1 AND kind <> 'delete'")
-        return rows.select("partition", "part", "source_identity", "revision", "cursor", "fence", "lag_ms")
+        names = ("partition", "part", "source_identity", "revision", "cursor", "fence", "lag_ms")
+        rows = [tuple(e[n] for n in names) for k, e in self._live().items() if keys is None or k in keys]
+        return self.spark.createDataFrame(rows, "partition string, part string, source_identity string, revision string, cursor long, fence string, lag_ms long")
 
     def rows(self) -> DataFrame:
         """All rows, with their partition."""
-        parts = [r.part for r in self.checkpoints().select("part").collect()]
+        parts = [e["part"] for e in self._live().values()]
         schema = T.StructType([*self.schema.fields, T.StructField("_partition", T.StringType())])
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.log.root}/{p}" for p in parts])
 
     def status(self) -> dict:
-        """generation, state and the greatest lag of a partition."""
-        entries = self.log.entries()
-        head = entries.agg(F.max("generation").alias("g"), F.max_by("state", F.when(F.col("state").isNotNull(), F.col("generation"))).alias("s")).first()
-        lag = self.checkpoints().agg(F.max("lag_ms")).first()[0]
-        return {"generation": head.g or 0, "state": head.s or "building", "lag_ms": lag or 0}
+        """generation, state, the last fence and the greatest lag of a partition."""
+        entries = self.log.load()
+        states = [e["state"] for e in entries if e["state"]]
+        fences = [e["fence"] for e in entries if e["fence"]]
+        lag = max((e["lag_ms"] or 0 for e in self._live().values()), default=0)
+        return {"generation": entries[-1]["generation"] if entries else 0, "state": states[-1] if states else "building", "fence": fences[-1] if fences else "", "lag_ms": lag}
 
     def require(self, max_lag_ms: int | None = None) -> None:
         now = self.status()
@@ -75,17 +79,22 @@ class ViewStore:
         if max_lag_ms is not None and now["lag_ms"] > max_lag_ms:
             raise StaleView(f"{now['lag_ms']} ms behind")
 
-    def _commit(self, **entry) -> int:
-        generation = (self.log.entries().agg(F.max("generation")).first()[0] or 0) + 1
-        self.log.commit({"generation": generation, **entry})
-        return generation
+    def _head(self) -> int:
+        entries = self.log.load()
+        return entries[-1]["generation"] if entries else 0
+
+    def _commit(self, head: int, **entry) -> int:
+        """The entry after generation `head`, which the caller has read before it looked at anything else: of two writers
+        that read the same head one is refused, and must look again."""
+        self.log.commit({"generation": head + 1, **entry})
+        return head + 1
 
     def set_state(self, state: str) -> int:
         if state not in STATES:
             raise InvalidBatch(state)
-        return self._commit(state=state)
+        return self._commit(self._head(), state=state)
 
-    def _write(self, partition: str, kind: str, rows: DataFrame, checkpoint: Checkpoint) -> int:
+    def _write(self, head: int, partition: str, kind: str, rows: DataFrame, checkpoint: Checkpoint) -> int:
         part = f"parts/{uuid.uuid4().hex}"
         names = self.schema.names
         try:
@@ -96,32 +105,34 @@ class ViewStore:
                 some = written.select(*names).groupBy(*columns).count()
                 if some.filter("count > 1").first() or written.join(others.select(*columns), list(columns), "left_semi").first():
                     raise PartitionConflict(f"rows share {', '.join(columns)}")
-            return self._commit(partition=partition, kind=kind, part=part, **asdict(checkpoint))
+            return self._commit(head, partition=partition, kind=kind, part=part, **asdict(checkpoint))
         except BaseException:
             self.log.files.delete(f"{self.log.root}/{part}")
             raise
 
     def replace_partition(self, partition: str, rows: DataFrame, checkpoint: Checkpoint) -> int:
-        return self._write(partition, "replace", rows, checkpoint)
-
-    def _expect(self, partition: str, identity: str, cursor: int) -> None:
-        row = self.checkpoints([partition]).first()
-        if row is None or row.cursor != cursor:
-            raise CursorConflict(f"the cursor is {row.cursor if row else 0}")
-        if row.source_identity != identity:
+        return self._write(self._head(), partition, "replace", rows, checkpoint)
+
+    def _expect(self, partition: str, identity: str, cursor: int) -> int:
+        """The generation in which the partition's cursor and source are as expected."""
+        head = self._head()
+        row = self._live().get(partition)
+        if row is None or row["cursor"] != cursor:
+            raise CursorConflict(f"the cursor is {row['cursor'] if row else 0}")
+        if row["source_identity"] != identity:
             raise PartitionConflict("another source's partition")
+        return head
 
     def apply_delta(self, partition: str, expected: int, upserts: DataFrame, deletes: DataFrame, checkpoint: Checkpoint) -> int:
         """Removes the row keys of `deletes`, then puts `upserts` over what is left."""
-        self._expect(partition, checkpoint.source_identity, expected)
+        head = self._expect(partition, checkpoint.source_identity, expected)
         if checkpoint.cursor <= expected:
             raise CursorConflict(f"the cursor is {expected}")
         held = self.rows().filter(F.col("_partition") == partition)
-        return self._write(partition, "delta", delta(held.select(*self.schema.names), upserts, deletes), checkpoint)
+        return self._write(head, partition, "delta", delta(held.select(*self.schema.names), upserts, deletes), checkpoint)
 
     def delete_partition(self, partition: str, expected: int, identity: str) -> int:
-        self._expect(partition, identity, expected)
-        return self._commit(partition=partition, kind="delete")
+        return self._commit(self._expect(partition, identity, expected), partition=partition, kind="delete")
 
 
 def delta(held: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataFrame:

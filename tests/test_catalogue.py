@@ -5,7 +5,7 @@ from loomspark.operators import cochange
 from loomspark.plans import catalogue, oracles, search
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("conversations", "documents", "events", "orders", "pages")
+TABLES = ("conversations", "documents", "events", "nation", "orders", "pages")
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +29,10 @@ def test_equals_oracle(spark, duck, name):
 
 
 def _docs(spark, bodies):
-    rows = [(f"s{i}", 0, "w", "/ws", "current", "t", 1000 + i, b, b.split()) for i, b in enumerate(bodies)]
+    rows = [(f"s{i}", 0, ["w"], "/ws", "current", "t", 1000 + i, b, b.split()) for i, b in enumerate(bodies)]
     return spark.createDataFrame(
         rows,
-        "session_id string, seq int, scope string, workspace_id string, surface string, event_type string, "
+        "session_id string, seq int, scope_tokens array<string>, workspace_id string, surface string, event_type string, "
         "event_time_unix_ms long, body string, tokens array<string>",
     )
 
