@@ -1,12 +1,13 @@
 """Removal of bytes in long strings that occur earlier in the corpus, by sparse suffix arrays in logarithmic levels.
 
 A window is a string of `length` bytes. Every window has an anchor, the k-gram within it whose hash is least, so equal
-windows have equal anchors at equal places, and windows that start side by side mostly share theirs: a run. Runs are
-the entries of the index. A run whose very bytes stand in an earlier one is settled by their hash. Only first runs whose
-anchor has other bytes too go on, with their bytes, to the task of their anchor. There the windows' starts come in document order, batch by batch: each batch gets its suffix array, ordered by
-the fingerprint of the window rather than by its letters (what stands together is the same), is merge-scanned against
-the levels of earlier batches, and becomes a level itself; levels of about equal size merge, so that there are
-logarithmically many.
+windows have equal anchors at equal places, and windows that start side by side mostly share theirs: a run. A run whose very
+bytes stand in an earlier one is settled by their hash, as one string. First runs whose anchor has other bytes too go on,
+with their bytes, to the task of their anchor. There they come in document order, batch by batch: each batch gets its suffix
+array, the places where its windows start in the order of their letters; equal neighbours repeat each other, the others are
+looked up in the levels of earlier batches, and those that none has become a level themselves: their letters, their suffix
+array, and their sorted fingerprints, which spare most look-ups in it. A level and the next larger one are merged when they
+are of about equal size, so that there are logarithmically many.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from loomspark.llm.common import M1, M2, Workspace, mix, partitions, pick, pick_
 
 #: Bytes of text, and windows, that a worker handles at a time.
 SEGMENT, BATCH_WINDOWS = 3 << 20, 400_000
+#: Windows whose letters are held at a time when levels are searched and merged.
+BLOCK = 100_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -88,7 +91,8 @@ def runs(data: np.ndarray, ends: np.ndarray, spec: LongMatches) -> tuple[np.ndar
 
 
 class Levels:
-    """Sorted arrays of fingerprints, each less than half as long as the one before."""
+    """Sorted arrays of fingerprints, each less than half as long as the one before: for windows of anchors so common that
+    they are dealt out by their fingerprints, without letters."""
 
     def __init__(self):
         self.levels: list[np.ndarray] = []
@@ -126,6 +130,110 @@ class Levels:
         return out
 
 
+def strings(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The strings of `length` bytes at some places."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[at]).view(f"S{length}").ravel()
+
+
+class SuffixArray:
+    """Different windows of a text: `order` has their starts in the order of their letters, `keys` their fingerprints in the
+    order of these."""
+
+    def __init__(self, text: np.ndarray, order: np.ndarray, keys: np.ndarray, length: int):
+        self.text, self.order, self.keys, self.length = text, order, keys, length
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def holds(self, wanted: np.ndarray) -> np.ndarray:
+        """Which of the strings are windows of it, by bisection."""
+        found = np.zeros(len(wanted), bool)
+        for i in range(0, len(wanted), BLOCK):
+            part = wanted[i : i + BLOCK]
+            low, high = np.zeros(len(part), np.int64), np.full(len(part), len(self))
+            while (low < high).any():
+                middle = np.minimum((low + high) // 2, len(self) - 1)
+                less = strings(self.text, self.order[middle], self.length) < part
+                low, high = np.where(less & (low < high), middle + 1, low), np.where(less | (low >= high), high, middle)
+            there = np.flatnonzero(low < len(self))
+            found[i + there] = strings(self.text, self.order[low[there]], self.length) == part[there]
+        return found
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        """Both in one; no window is in both. Blocks of one and what of the other comes between their first letters are merged
+        at a time."""
+        text, mine, theirs = np.concatenate([self.text, other.text]), self.order, other.order + len(self.text)
+        fences = strings(text, mine[BLOCK::BLOCK], self.length)
+        cuts = [0, *[other._below(f) for f in fences], len(other)]
+        out = []
+        for i in range(len(cuts) - 1):
+            places = np.concatenate([mine[i * BLOCK : (i + 1) * BLOCK], theirs[cuts[i] : cuts[i + 1]]])
+            out.append(places[np.argsort(strings(text, places, self.length), kind="stable")])
+        keys = np.concatenate([self.keys, other.keys])
+        keys.sort(kind="stable")
+        return SuffixArray(text, np.concatenate(out) if out else mine, keys, self.length)
+
+    def _below(self, letters: bytes) -> int:
+        low, high = 0, len(self)
+        while low < high:
+            middle = (low + high) // 2
+            at = self.order[middle]
+            if self.text[at : at + self.length].tobytes() < bytes(letters).ljust(self.length, b"\0"):
+                low = middle + 1
+            else:
+                high = middle
+        return low
+
+
+class SuffixLevels:
+    """Suffix arrays, each less than half as long as the one before."""
+
+    def __init__(self, length: int):
+        self.length, self.levels = length, []
+
+    def _known(self, heads: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        found, by_key = np.zeros(len(heads), bool), np.argsort(keys)
+        ordered = keys[by_key]
+        for level in self.levels:
+            at = np.searchsorted(level.keys, ordered)
+            at[at == len(level)] = 0
+            maybe = by_key[level.keys[at] == ordered]
+            if len(maybe):
+                found[maybe] |= level.holds(heads[maybe])
+        return found
+
+    def _add(self, text: np.ndarray, order: np.ndarray, keys: np.ndarray) -> None:
+        """A level of the windows at `order`, with no more of the text than they cover."""
+        if not len(order):
+            return
+        edges = np.bincount(order, minlength=len(text) + 1) - np.bincount(order + self.length, minlength=len(text) + 1)
+        covered = np.cumsum(edges[:-1]) > 0
+        place = np.cumsum(covered) - 1
+        self.levels.append(SuffixArray(text[covered], place[order], np.sort(keys), self.length))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
+            last = self.levels.pop()
+            self.levels.append(self.levels.pop().merged(last))
+
+    def repeats(self, text: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Takes the next batch in, the windows at some places of a text in document order, with their fingerprints; marks what
+        occurred before, in it or in a level."""
+        if not len(at):
+            return np.zeros(0, bool)
+        letters = strings(text, at, self.length)
+        order = np.argsort(letters, kind="stable")
+        letters = letters[order]
+        first = np.concatenate([[True], letters[1:] != letters[:-1]])
+        heads = order[first]
+        known = self._known(letters[first], keys[heads])
+        new = heads[~known]
+        self._add(text, at[new], keys[new])
+        again = ~first
+        again[np.flatnonzero(first)[known]] = True
+        out = np.empty(len(at), bool)
+        out[order] = again
+        return out
+
+
 def _segments(batch: pa.RecordBatch, overlap: int):
     """(d, u, bytes, offset) groups of about SEGMENT bytes; longer texts in parts that overlap by a window less one."""
     group, size = [], 0
@@ -289,7 +397,7 @@ def _matches(rows: DataFrame, spec: LongMatches) -> DataFrame:
     """Spans of windows that occurred before, of contexts in document order."""
 
     def run(batches):
-        levels, held, size, last = Levels(), [], 0, None
+        levels, common, held, size, last = SuffixLevels(spec.length), Levels(), [], 0, None
 
         def flush():
             nonlocal held, size, last
@@ -309,15 +417,15 @@ def _matches(rows: DataFrame, spec: LongMatches) -> DataFrame:
             lengths = np.where(single, 0, n + spec.length - 1)
             data = np.frombuffer(b"".join(x for x in texts.to_pylist() if x), np.uint8)
             begin = np.cumsum(lengths) - lengths
-            every = fingerprints(data, spec.length)
             row = np.repeat(np.arange(len(n)), n)
             within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            if len(every):
-                values = every[np.minimum(begin[row] + within, len(every) - 1)]
-                values = np.where(single[row], key.view(np.uint64)[row], values)
-            else:
-                values = key.view(np.uint64)[row]
-            return _spans(d, u, start, n, levels.repeats(values), spec.length)
+            alone, again = single[row], np.zeros(len(row), bool)
+            if alone.any():
+                again[alone] = common.repeats(key.view(np.uint64)[row[alone]])
+            if not alone.all():
+                at = (begin[row] + within)[~alone]
+                again[~alone] = levels.repeats(data, at, fingerprints(data, spec.length)[at])
+            return _spans(d, u, start, n, again, spec.length)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 5000):

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprint, packing, queries, tokens
+from loomspark.llm import fingerprint, minhash, packing, queries, suffix_dedup, tokens
 
 ALPHABET = "aB'  \n.9é×É́日sT\tŁ- Σ🙂l\x1c\0"
 NAMES = [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)]
@@ -103,3 +103,34 @@ def test_one_threshold_for_texts_of_all_sizes(spark):
         if len(x | y) > 200:
             assert abs(r["like"] - len(x & y) / len(x | y)) < 0.1
     assert [r["like"] for r in got][4:] == [0, 0, 1]
+
+
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_suffix_levels_by_brute_force(block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    draw, length = np.random.default_rng(4), 5
+    levels, seen = suffix_dedup.SuffixLevels(length), set()
+    for _ in range(30):
+        text = draw.integers(0, 3, draw.integers(5, 60)).astype(np.uint8)  # NUL bytes too
+        at = np.sort(draw.choice(len(text) - length + 1, draw.integers(0, len(text) - length + 2), replace=False))
+        want = []
+        for i in at:
+            w = text[i : i + length].tobytes()
+            want.append(w in seen)
+            seen.add(w)
+        keys = suffix_dedup.fingerprints(text, length)[at] % np.uint64(50)  # fingerprints that collide
+        assert levels.repeats(text, at, keys).tolist() == want
+        for level in levels.levels:
+            letters = [level.text[i : i + length].tobytes() for i in level.order]
+            assert letters == sorted(set(letters)) and len(level.keys) == len(letters)
+    assert sum(map(len, levels.levels)) == len(seen) and len(levels.levels) <= 8
+
+
+def test_one_of_each_keeps_rows_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", 9), (2, text + " end", "b", 8), (None, text, "c", 7), (3, "other words here", None, 6), (3, "other words here", None, 6), (4, None, "d", 5), (5, "", "e", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string, b int").toDF("doc_id", "text", "DOC_ID", "Text")
+    got = minhash.one_of_each(df, minhash.NearDup(k=5, percent=80, bands=32))
+    assert got.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [r for r in rows if r[0] != 2]))
+    assert minhash.one_of_each(df.limit(0)).count() == 0
