@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.sources.folders import shared_folder
+
 #: Entries that a worker's word caches hold before they start anew.
 CACHE_WORDS = 300_000
 
@@ -45,25 +44,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="loomspark-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 class Workspace:
     """Tables in the shared folder, which cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.tables = spark, []
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
+        self.tables.append(table)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         del df
         return self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path)
@@ -75,8 +65,13 @@ class Workspace:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
             path.getFileSystem(conf).delete(path, True)
+        self.tables = [t for t in self.tables if t not in tables]
         release(self.spark)
 
+    def keep(self, *tables: str) -> None:
+        """Deletes all other tables."""
+        self.drop(*[t for t in self.tables if t not in tables])
+
 
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM finds their plans unreachable; ask it to look now."""

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD_HASH, Workspace, mix, pick, shingles, small_batches, trimmed
+from loomspark.llm.common import WORD_HASH, Workspace, mix, pick, pick_row, shingles, small_batches, trimmed, unrow
 
 
 #: Best pairs that each member outside its bucket's largest component tries, by round; the last round tries all.
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", spec: NearDup
     out = sigs.select("doc_id", "n_shingles", "sig").join(final, "sig", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.least("doc_id", "c"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    work.drop("sets", "representatives", "buckets", "members", "sketched")
+    work.keep("signatures", "components")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -310,6 +310,11 @@ def _similarity(different: int, spec: NearDup) -> float:
 
 
 def one_of_each(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
-    """docs without the documents that are in the component of one with a smaller id; the same columns."""
-    gone = near_duplicates(docs, spec=spec).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without the documents that are in the component of one with a smaller id; the same columns.
+
+    Rows with a null id stay, those of texts without words too; of an id that several rows have all stay or all go. An empty
+    table gives an empty result.
+    """
+    rows = pick_row(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    gone = near_duplicates(rows.select("doc_id", "text"), spec=spec).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return unrow(rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti"), docs.columns)
