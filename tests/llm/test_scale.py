@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprint, minhash, packing, queries, suffix_dedup, tokens
+from loomspark.llm import fingerprint, minhash, packing, queries, suffix_dedup, tokens, urlfilter
 
 ALPHABET = "aB'  \n.9é×É́日sT\tŁ- Σ🙂l\x1c\0"
 NAMES = [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)]
@@ -134,3 +134,15 @@ def test_one_of_each_keeps_rows_with_clashing_names(spark):
     assert got.columns == df.columns
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [r for r in rows if r[0] != 2]))
     assert minhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_rules_are_read_and_hosts_may_have_line_ends(spark):
+    lines = ["# list\n", "\n", "block\tads.example/x/\n", "block\ttracker\t^[^\\n]*\\n/track/[0-9]+$\ttrack\n", "block\tany\t\\n$\t\n"]
+    rules = urlfilter.read_rules(lines)
+    assert [(r.name, r.base, r.literals) for r in rules] == [("ads.example/x/", True, ("ads", "example", "x")), ("tracker", False, ("track",)), ("any", False, ())]
+    urls = ["http://a.ads.example/x/y", "http://b.c/track/12", "http://b.c/track/x", "http://b.c", "http://foo\nbar.com/en/1", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["method_rules"]) for r in urlfilter.url_verdicts(df.union(df), rules=rules + urlfilter.BASE_RULES).collect()}
+    assert got == {0: ("ads.example/x/", "block", ""), 1: (None, "block", "tracker"), 2: (None, "allow", ""), 3: (None, "block", "any"), 4: ("com/en/", "block", ""), 5: (None, "block", "any")}
+    with pytest.raises(ValueError):
+        urlfilter.read_rules(["maybe\tx"])
