@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Workspace, pick, small_batches
+from loomspark.llm.common import Workspace, pick, small_batches, trimmed
 from loomspark.llm.tokens import ids
 
 CAPACITY = 4096
@@ -50,7 +50,7 @@ def token_pieces(
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(trimmed(run), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
