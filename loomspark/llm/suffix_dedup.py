@@ -250,8 +250,9 @@ def _segments(batch: pa.RecordBatch, overlap: int):
         yield group
 
 
-DEALT = "key long, same long, d long, u long, start long, n long"
+DEALT = "done boolean, key long, same long, d long, u long, start long, n long"
 RUN = "hot boolean, key long, d long, u long, start long, n long"
+RUN_KEPT = ["key", "d", "u", "start", "n"]
 SPAN = "d long, u long, start long, stop long"
 
 
@@ -262,7 +263,8 @@ def _batch(spec: str, *columns) -> pa.RecordBatch:
 
 
 def _runs(docs: DataFrame, spec: LongMatches) -> DataFrame:
-    """Runs; `same` is a hash of all their bytes."""
+    """Runs; `same` is a hash of all their bytes. Those whose very bytes stand in an earlier run of the same segment are done:
+    they need not meet the others, so that a passage in many documents brings one row for each segment to its task."""
 
     def run(batches):
         for batch in batches:
@@ -277,7 +279,13 @@ def _runs(docs: DataFrame, spec: LongMatches) -> DataFrame:
                 same = mix(same + whole[start + n // 2])
                 d, u = (np.array([g[i] for g in group], np.int64)[text] for i in (0, 1))
                 begins = np.concatenate([[0], ends[:-1]]) - np.array([g[3] for g in group])
-                yield _batch(DEALT, key.view(np.int64), same.view(np.int64), d, u, start - begins[text], n)
+                start = start - begins[text]
+                order = np.lexsort((start, u, d, same, key))
+                key, same, d, u, start, n = (x[order] for x in (key, same, d, u, start, n))
+                new = _new([key, same], None)
+                head = np.flatnonzero(new)[np.cumsum(new) - 1]
+                done = (d != d[head]) | (u != u[head]) | (start != start[head])
+                yield _batch(DEALT, done, key.view(np.int64), same.view(np.int64), d, u, start, n)
 
     return docs.mapInArrow(trimmed(run), DEALT)
 
@@ -318,6 +326,11 @@ def _repeated(table: DataFrame, spec: LongMatches) -> DataFrame:
             return out, t.slice(cut)
 
         for batch in batches:
+            done = batch.column("done")
+            t = pa.Table.from_batches([batch.filter(done)])
+            if len(t):
+                yield from t.select(RUN_KEPT).add_column(0, "hot", pa.nulls(len(t), pa.bool_())).to_batches()
+            batch = batch.filter(pa.compute.invert(done))
             if not batch.num_rows:
                 continue
             key, same, d, u, start = columns = [batch.column(c).to_numpy() for c in ("key", "same", "d", "u", "start")]
@@ -454,13 +467,15 @@ def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _dealt_by_anchor(found: DataFrame, tasks: int, spec: LongMatches) -> DataFrame:
-    """Runs in the partition of their anchor, sorted by it, bytes and place; on the way start and n are one number."""
+    """Runs in the partition of their anchor, sorted by it, bytes and place; those that are done anywhere, last. On the way
+    start and n are one number."""
     bits = spec.length.bit_length()
     place = F.shiftleft("start", bits).bitwiseOR(F.col("n")).alias("place")
-    dealt = found.select("key", "same", "d", "u", place).repartition(tasks, "key")
-    dealt = dealt.sortWithinPartitions("key", "same", "d", "u", "place")
+    where = F.when(F.col("done"), F.xxhash64("d", "place")).otherwise(F.col("key"))
+    dealt = found.select("done", "key", "same", "d", "u", place).repartition(tasks, where)
+    dealt = dealt.sortWithinPartitions("done", "key", "same", "d", "u", "place")
     n = F.col("place").bitwiseAND(F.lit((1 << bits) - 1)).alias("n")
-    return dealt.select("key", "same", "d", "u", F.shiftright("place", bits).alias("start"), n)
+    return dealt.select("done", "key", "same", "d", "u", F.shiftright("place", bits).alias("start"), n)
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, spec: LongMatches = LongMatches()) -> DataFrame:
