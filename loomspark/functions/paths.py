@@ -66,13 +66,16 @@ def joined(folder: Column, path: Column) -> Column:
     return normalized(F.concat(folder, F.lit("/"), path))
 
 
-def module_candidates(importer: Column, specifier: Column) -> Column:
-    """The files that a relative specifier may mean, best first; null for others and for those outside the root."""
-    base = joined(dirname(importer), specifier)
-    outside = (base == "..") | base.startswith("../") | base.startswith("/")
+def module_base(importer: Column, specifier: Column) -> Column:
+    """The path that a relative specifier names; null for other specifiers and for paths outside the root."""
+    base = F.when(specifier.startswith("."), joined(dirname(importer), specifier))
+    return F.regexp_extract(base, r"^(?!\.\.$|\.\./|/)(?s:.*)$", 0)
+
+
+def module_candidates(base: Column) -> Column:
+    """The files that it may mean, best first. `base` should be a column, for each candidate reads it."""
     more = [F.concat(base, F.lit(e)) for e in EXTENSIONS] + [F.concat(base, F.lit("/index" + e)) for e in EXTENSIONS]
-    found = F.when(extname(base) == "", F.array(base, *more)).otherwise(F.array(base))
-    return F.when(specifier.startswith(".") & ~outside, found)
+    return F.when(extname(base) == "", F.array(base, *more)).otherwise(F.array(base))
 
 
 def exclusion(path: Column, attributes: Column | None = None, rules: Exclusions = Exclusions()) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.paths import MODULE, module_candidates
+from loomspark.functions.paths import MODULE, module_base, module_candidates
 from loomspark.functions.text import SPACE_CLASS, json_string
 
 #: Revisions that heat is counted over, and the patterns of module specifiers.
@@ -28,7 +28,8 @@ def imports(modules: DataFrame, tracked: DataFrame) -> DataFrame:
     """importer, target: which tracked files the tracked modules (path, source) import; the first candidate that is
     tracked counts. Imports of oneself don't."""
     wanted = modules.filter(F.col("path").rlike(MODULE)).select(F.col("path").alias("importer"), F.explode(specifiers(F.col("source"))).alias("specifier"))
-    tried = wanted.select("importer", "specifier", F.posexplode(module_candidates(F.col("importer"), F.col("specifier"))).alias("place", "target"))
+    named = wanted.withColumn("base", module_base(F.col("importer"), F.col("specifier"))).filter("base <> ''")
+    tried = named.select("importer", "specifier", F.posexplode(module_candidates(F.col("base"))).alias("place", "target"))
     files = tracked.select(F.col("path").alias("target")).distinct()
     found = tried.join(files, "target").groupBy("importer", "specifier").agg(F.min_by("target", "place").alias("target"))
     return found.filter("target <> importer").select("importer", "target").distinct()

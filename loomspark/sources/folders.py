@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.functions.text import ACCENTED, PLAIN
 from loomspark.sources import postings
-from loomspark.sources.store import DOCUMENT, DocumentStore, Files, InvalidSchema, schema_fingerprint
+from loomspark.sources.store import DOCUMENT, ConcurrentCommit, DocumentStore, Files, InvalidSchema, schema_fingerprint
 
 #: Changes when stores of tables are made otherwise than before.
 FORMAT = 1
@@ -42,10 +42,15 @@ def stored(spark: SparkSession, name: str, source: str, docs: Callable[[], DataF
     files change."""
     shape = hashlib.sha256(f"{FORMAT} {postings.SCHEMA} {schema_fingerprint(DOCUMENT)} {ACCENTED} {PLAIN}".encode()).hexdigest()[:8]
     root = f"{shared_folder(spark)}/stores/{name}-{shape}-{state_of(spark, source)}"
-    try:
-        store = DocumentStore(spark, root)
-    except InvalidSchema:
-        store = DocumentStore.create(spark, root)
+    if not Files(spark, root).exists(f"{root}/identity.json"):
+        try:
+            DocumentStore.create(spark, root)
+        except InvalidSchema:  # another process was first
+            pass
+    store = DocumentStore(spark, root)
     if not store.head()[0]:
-        store.apply_batch(docs().select(*DOCUMENT.names), name, source, 1)
+        try:
+            store.apply_batch(docs().select(*DOCUMENT.names), name, source, 1)
+        except ConcurrentCommit:  # so it was here, with the same documents
+            pass
     return store

@@ -18,7 +18,7 @@ def duck():
 
 def _rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return [columns[i] for i in order], sorted(tuple(r[i] for i in order) for r in rows)
+    return [columns[i] for i in order], sorted((tuple(r[i] for i in order) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(oracles.oracles()))
