@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprint, minhash, packing, queries, suffix_dedup, tokens, urlfilter
+from loomspark.llm import fingerprint, minhash, mixing, packing, quality, queries, suffix_dedup, tokens, urlfilter
 
 ALPHABET = "aB'  \n.9é×É́日sT\tŁ- Σ🙂l\x1c\0"
 NAMES = [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)]
@@ -146,3 +147,77 @@ def test_rules_are_read_and_hosts_may_have_line_ends(spark):
     assert got == {0: ("ads.example/x/", "block", ""), 1: (None, "block", "tracker"), 2: (None, "allow", ""), 3: (None, "block", "any"), 4: ("com/en/", "block", ""), 5: (None, "block", "any")}
     with pytest.raises(ValueError):
         urlfilter.read_rules(["maybe\tx"])
+
+
+LONG = " ".join(f"word{i % 977}" for i in range(30_000))
+ODD = [
+    (1, None), (2, ""), (3, " \n "), (4, "one two"), (5, "One TWO"), (6, "a " * 80), (7, LONG), (8, LONG), (8, LONG), (9, "a\tb c  \n\nd é ü"),
+    (None, "no id here at all"), (10, "x" * 300), (11, "<|endoftext|> is text"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(d, t, None, None if d == 3 else f"s{(d or 0) % 3}", None, 1, "z") for d, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int, TEXT_HASH string")
+
+
+def _rows(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_values_of_odd_rows_without_repeats(odd):
+    """Of equal windows the first stays: a byte of 300 equal ones, a period of a repeated phrase, nothing of a copy."""
+    period = len(" ".join(f"word{i}" for i in range(977))) + 1
+    want = {6: "a ", 7: LONG[:period], 10: "x"}
+    kept = [(d, want.get(d, t or "")) for d, t in ODD if d != 8]
+    assert _rows(suffix_dedup.without_repeats(odd)) == sorted(kept, key=str)
+
+
+def test_values_of_odd_rows_one_of_each(odd):
+    """Texts that differ in case only are copies, and so are those of two ids; rows of null ids and without words stay."""
+    assert _rows(minhash.one_of_each(odd)) == sorted([(d, t) for d, t in ODD if d not in (5, 8)], key=str)
+
+
+def test_values_of_odd_rows_keep_clean(odd):
+    """All are too short, or repeat themselves too often. One that does not stays as it is."""
+    assert _rows(quality.keep_clean(odd)) == []
+    words = [a + b + c for a in ("mar", "tel", "so", "vi") for b in ("ten", "ga", "lor", "mi") for c in ("", "dan", "es", "o", "ing")]
+    text = "\n".join("The " + " ".join(words[i : i + 12]) + "." for i in range(0, 72, 12))
+    clean = odd.limit(1).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit(text))
+    assert _rows(quality.keep_clean(odd.unionByName(clean))) == [(99, text)]
+
+
+def test_values_of_odd_rows_packed(odd):
+    """Rows of one id and null ids give their pieces each, with the library's ids."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = packing.pack(packing.token_pieces(odd, path)).collect()
+    want = Counter()
+    for d, t in ODD:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for i, a in enumerate(range(0, len(ids), 4096)):
+            want[d, i, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    used = Counter()
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 4096 and len(used) == -(-sum(r["length"] for r in rows) // 4096)
+
+
+def test_values_of_odd_rows_mixed(odd):
+    """No document is taken more than twice, and the words taken are near the targets of their sources."""
+    taken = Counter((r["doc_id"], r["text"]) for r in mixing.mixed(odd).collect())
+    for key, n in taken.items():
+        assert n <= 2 * Counter(ODD)[key]
+    words = {s: 0 for s in ("s0", "s1", "s2", None)}
+    got = dict(words)
+    for d, t in ODD:
+        s = None if d == 3 else f"s{(d or 0) % 3}"
+        words[s] += len((t or "").split())
+    for (d, t), n in taken.items():
+        got[None if d == 3 else f"s{(d or 0) % 3}"] += n * len((t or "").split())
+    total = 1.5 * sum(words.values())
+    targets = {s: min(2 * words[s], total) for s in words}
+    assert sum(got.values()) <= sum(targets.values()) and all(got[s] <= 2 * words[s] for s in words)
+    assert abs(sum(got.values()) - total) <= 2 * 30_000
